@@ -19,6 +19,29 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op1_retrieval_packing": op1_retrieval_packing}
-
-ORACLE_SQL: dict[str, str] = {}
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.substring import drop_repeated
+
+    left = drop_repeated(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op1_retrieval_packing": op1_retrieval_packing,
+    "op4_substring_dedup": op4_substring_dedup,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS seq FROM s),
+        m AS (SELECT seq, min(doc_id) AS first_id FROM k GROUP BY seq),
+        c AS (SELECT DISTINCT k.doc_id, i + unnest(range(0, 13)) AS i FROM k JOIN m USING (seq) WHERE first_id < k.doc_id),
+        w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        g AS (SELECT w.doc_id, count(*) AS n_removed FROM w JOIN c USING (doc_id, i) GROUP BY 1),
+        j AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN j USING (doc_id)""",
+}
