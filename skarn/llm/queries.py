@@ -26,9 +26,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.jaccard import links
+
+    return links(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
