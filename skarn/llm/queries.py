@@ -26,6 +26,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.lines import dedup
+
+    return dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.jaccard import links
 
@@ -35,6 +41,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
