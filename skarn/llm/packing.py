@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import partitions, runs, small_batches, text_bytes
-from skarn.llm.tokens import Encoder
+from skarn.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -130,9 +130,9 @@ def pack(
 
     def shard_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for shard, t in runs(batches, "shard"):
-            raw = [i + end for i in encoder.ids([x.decode() for x in t.column("text").to_pylist()])]
+            raw = [i + end for i in known.ids([x.decode() for x in t.column("text").to_pylist()])]
             ids = [np.frombuffer(x, "<u4") for x in raw]
             names = t.column("doc_id").to_pylist()
             got = list(_pieces(reading_order(ids, window, query_terms), ids, window))

@@ -8,6 +8,7 @@ remembered; any other text goes to the library whole. Both ways give the same id
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ PLAIN = rf"[\t\n\x0b\x0c\r\x20-\x7e{LETTERS}]*"
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain, self.pieces = re.compile(PLAIN), re.compile(PIECE)
@@ -42,3 +43,9 @@ class Encoder:
         other = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) if p else next(other) for s, p in zip(split, plain, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for a Python worker: what a task has encoded serves the worker's next task."""
+    return Encoder(path)
