@@ -32,6 +32,22 @@ def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.secrets import KINDS, scan
+
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    spans = F.col("spans")
+    base = F.filter(spans, lambda x: x["kind"].isin(*KINDS[:3]))
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:3]]
+    return scan(read(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.jaccard import links
 
@@ -42,6 +58,7 @@ QUERIES = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
+    "op6_credential_linking": op6_credential_linking,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
