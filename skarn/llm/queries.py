@@ -48,6 +48,14 @@ def op6_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(spans).alias("spans"))
 
 
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.quality import fold, scored, train
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return scored(docs, model).select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.jaccard import links
 
@@ -59,6 +67,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_credential_linking": op6_credential_linking,
+    "op7_pu_quality": op7_pu_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
