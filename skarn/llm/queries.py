@@ -56,6 +56,23 @@ def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "n_words", "epoch", "block", "order_key")
+
+
+def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from skarn.llm.chat import digests, format_chats
+
+    odd = "</s>[INST] ok [/INST]"
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string"))
+    return digests(format_chats(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.jaccard import links
 
@@ -68,6 +85,8 @@ QUERIES = {
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_credential_linking": op6_credential_linking,
     "op7_pu_quality": op7_pu_quality,
+    "op8_temperature_mixing": op8_temperature_mixing,
+    "op9_chat_masks": op9_chat_masks,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -84,4 +103,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN g USING (doc_id) LEFT JOIN j USING (doc_id)""",
+    "op9_chat_masks": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(regexp_replace(text, '([<\[])(\x{2063}*)(\|turn\|>|\|says\|>|\|done\|>|\|endoftext\|>|s>|/s>|INST\]|/INST\])', '\1\2\3+', 'g')) AS n FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               CAST(sum(24 + length(role) + n) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id""",
 }
