@@ -12,6 +12,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 #: Word rule shared by the operators: maximal runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words remembered by one Python worker before it starts over; bounds its memory.
-MEMO = 400_000
+MEMO = 700_000
 MASK = (1 << 64) - 1
 
 _own_dirs: dict[str, str] = {}
@@ -76,6 +77,12 @@ class WordHash(dict):
         return h
 
 
+@lru_cache(maxsize=1)
+def word_memo() -> WordHash:
+    """One memory for a Python worker: what a task has hashed serves the worker's next task."""
+    return WordHash()
+
+
 def hash_words(lists: list[list[bytes]], memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """All word hashes, one after the other, and the place where each list begins (and the end)."""
     ends = np.zeros(len(lists) + 1, np.int64)

@@ -29,7 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import WordHash, by_key, hash_words, multipliers, partitions, runs, small_batches, text_bytes, window_hash
+from skarn.llm.common import by_key, hash_words, multipliers, partitions, runs, small_batches, text_bytes, window_hash, word_memo
 
 LAST = np.iinfo(np.int64).max
 SKETCH = "shard long, block long, columns binary, twice binary"
@@ -58,48 +58,57 @@ def unbits(b: bytes) -> np.ndarray:
 
 
 class Block:
-    """The windows of one block's documents."""
+    """The windows of one block's documents, sorted by their first hash."""
 
-    def __init__(self, table: pa.Table, width: int, memo: WordHash):
+    def __init__(self, table: pa.Table, width: int):
         self.ids = table.column("d").to_numpy()
         self.words = [t.split() for t in table.column("text").to_pylist()]
         self.width = width
-        self.flat, self.ends = hash_words(self.words, memo)
+        self.flat, self.ends = hash_words(self.words, word_memo())
         n = np.diff(self.ends)
-        place = np.arange(len(self.flat)) + width
-        self.start = np.flatnonzero(place <= np.repeat(self.ends[1:], n))
-        self.doc = np.repeat(self.ids, n)[self.start]
-        self.h1 = window_hash(self.flat, width, 101)[self.start]
-
-    def columns(self, row: int, log_width: int) -> np.ndarray:
-        """The sketch column of each window in a row."""
-        return (self.h1 * multipliers(8, 7)[row]) >> np.uint64(64 - log_width)
+        at = np.flatnonzero(np.arange(len(self.flat)) + width <= np.repeat(self.ends[1:], n))
+        h1 = window_hash(self.flat, width, 101)[at]
+        order = np.argsort(h1)
+        self.h1, self.at = h1[order], at[order]
+        self.doc = np.repeat(self.ids, n)[self.at]
+
+    def columns(self, row: int, log_width: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """The windows' sketch columns in a row, sorted; the order that sorts them; where each column begins."""
+        if row == 0:
+            col, order = self.h1 >> np.uint64(64 - log_width), None
+        else:
+            col = (self.h1 * multipliers(8, 7)[row]) >> np.uint64(64 - log_width)
+            order = np.argsort(col)
+            col = col[order]
+        return col, order, np.flatnonzero(np.diff(col, prepend=np.uint64(1 << 63)))
 
     def likely(self, answers: dict[int, np.ndarray], depth: int, log_width: int, log_shards: int) -> np.ndarray:
         """Which windows have only repeated columns."""
         yes = np.ones(len(self.h1), bool)
         for row in range(depth):
-            col = self.columns(row, log_width)
-            sent = np.unique(col)
-            at = np.searchsorted(sent, np.arange(1, 1 << log_shards, dtype=np.uint64) << np.uint64(log_width - log_shards))
-            parts = [answers[(row << log_shards) + s] for s, x in enumerate(np.split(sent, at)) if len(x)]
+            col, order, begin = self.columns(row, log_width)
+            parts = [answers[s] for s in sorted(answers) if s >> log_shards == row]
             if parts:
-                yes &= np.concatenate(parts)[np.searchsorted(sent, col)]
+                told = np.repeat(np.concatenate(parts), np.diff(begin, append=len(col)))
+                if order is None:
+                    yes &= told
+                else:
+                    yes[order] &= told
         return yes
 
     def claims(self, yes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of the likely windows: their places in reading order, and for each distinct one h1, h2, first doc_id; then its number for each place."""
-        at = self.start[yes]
-        h1, h2 = self.h1[yes], (window_hash(self.flat, self.width, 202) >> np.uint64(32)).astype(np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
-        order = np.lexsort((h2, h1))
-        a, b = h1[order], h2[order]
+        """Of the likely windows: places; h1, h2 and first doc_id of each distinct one, by h1, then h2; its number for each place."""
+        at, doc, a = self.at[yes], self.doc[yes], self.h1[yes]
+        b = (window_hash(self.flat, self.width, 202)[at] >> np.uint64(32)).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        same = a[1:] == a[:-1]
+        if (same & (b[1:] != b[:-1])).any():  # unlike windows with one first hash
+            order = np.lexsort((b, a))
+            at, doc, a, b = at[order], doc[order], a[order], b[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        group = np.zeros(len(a), np.int64)
-        group[order] = np.cumsum(new) - 1
         begin = np.flatnonzero(new)
-        first = np.minimum.reduceat(self.doc[yes][order], begin) if len(begin) else np.zeros(0, np.int64)
-        return at, a[begin], b[begin], first, group
+        first = np.minimum.reduceat(doc, begin) if len(begin) else np.zeros(0, np.int64)
+        return at, doc, a[begin], b[begin], first, np.cumsum(new) - 1
 
 
 def drop_repeated(docs: DataFrame, width: int = 13, depth: int = 2, block_chars: int = 6_000_000) -> DataFrame:
@@ -116,11 +125,11 @@ def drop_repeated(docs: DataFrame, width: int = 13, depth: int = 2, block_chars:
     ).repartition(n, "block")  # the same exchange feeds all three passes
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for block, table in runs(batches, "block"):
-            b, out = Block(table, width, memo), []
+            b, out = Block(table, width), []
             for row in range(depth):
-                col, count = np.unique(b.columns(row, log_width), return_counts=True)
+                every, _, begin = b.columns(row, log_width)
+                col, count = every[begin], np.diff(begin, append=len(every))
                 cuts = np.searchsorted(col, np.arange(1, 1 << log_shards, dtype=np.uint64) << np.uint64(log_width - log_shards))
                 for s, (c, k) in enumerate(zip(np.split(col, cuts), np.split(count, cuts), strict=True)):
                     if len(c):
@@ -146,15 +155,20 @@ def drop_repeated(docs: DataFrame, width: int = 13, depth: int = 2, block_chars:
     def claim(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
-            b = Block(left, width, WordHash())
-            _, h1, h2, first, _ = b.claims(b.likely(answers(right, 1), depth, log_width, log_shards))
+            b = Block(left, width)
+            yes = b.likely(answers(right, 1), depth, log_width, log_shards)
+            _, _, h1, h2, first, _ = b.claims(yes)
             cuts = np.searchsorted(h1, np.arange(1, 1 << log_shards, dtype=np.uint64) << np.uint64(64 - log_shards)) if log_shards else []
             block = left.column("block")[0].as_py()
             out = [(s, block, x.tobytes(), y.tobytes(), squeeze(z)) for s, (x, y, z) in enumerate(zip(np.split(h1, cuts), np.split(h2, cuts), np.split(first, cuts), strict=True)) if len(x)]
+            out.append((-1 - block, block, bits(yes), b"", b""))  # comes back to the block for the last pass
         return pa.Table.from_batches([_batch(out, CLAIM)])
 
     def settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, table in runs(batches, "shard"):
+            if shard < 0:
+                yield _batch([(-1 - shard, 0, 1, table.column("h1")[0].as_py())], ANSWER)
+                continue
             h1 = [np.frombuffer(x, np.uint64) for x in table.column("h1").to_pylist()]
             sizes = np.cumsum([len(x) for x in h1])[:-1]
             a, b = np.concatenate(h1), np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("h2").to_pylist()])
@@ -172,12 +186,11 @@ def drop_repeated(docs: DataFrame, width: int = 13, depth: int = 2, block_chars:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
         if not left.num_rows:
             return schema.empty_table()
-        b = Block(left, width, WordHash())
-        at, h1, _, first, group = b.claims(b.likely(answers(right, 1), depth, log_width, log_shards))
+        b = Block(left, width)
+        at, doc, h1, _, first, group = b.claims(answers(right, 1)[0])
         got = answers(right, 2)
         earlier = np.concatenate([got[s] for s in sorted(got)]) if got else np.zeros(0, bool)
         assert len(earlier) == len(h1)
-        doc = np.repeat(b.ids, np.diff(b.ends))[at]
         gone = at[earlier[group] | (doc > first[group])] if len(at) else at
         edge = np.zeros(len(b.flat) + 1, np.int64)
         np.add.at(edge, gone, 1)
@@ -191,7 +204,7 @@ def drop_repeated(docs: DataFrame, width: int = 13, depth: int = 2, block_chars:
     first = by_key(sketches, "shard", merge, ANSWER)
     claims = rows.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(claim, CLAIM)
     second = by_key(claims, "shard", settle, ANSWER)
-    return rows.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return rows.groupBy("block").cogroup(second.groupBy("block")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
