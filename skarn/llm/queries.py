@@ -19,6 +19,19 @@ def op1_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.hamming import top_k
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op3_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.lattice import links
+
+    return links(read(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.substring import drop_repeated
 
@@ -81,6 +94,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_retrieval_packing": op1_retrieval_packing,
+    "op2_hamming_top_k": op2_hamming_top_k,
+    "op3_lattice_near_dedup": op3_lattice_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_credential_linking": op6_credential_linking,
@@ -91,6 +106,26 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_hamming_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN 1 ELSE 0 END) AS code FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+        d AS (
+            SELECT q.vec_id AS query_id, o.vec_id, CAST(list_sum(list_transform(list_zip(q.code, o.code), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+            FROM v q JOIN v o ON q.vec_id <> o.vec_id AND len(q.code) = len(o.code) WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
+        SELECT query_id, vec_id, distance, rank FROM r WHERE rank <= 10""",
+    "op3_lattice_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+              AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a""",
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         s AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
