@@ -43,10 +43,12 @@ def tokens(normed: Column) -> Column:
 def bigrams(normed: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space left out; a shorter text is its own."""
 
-    def grams(z: Column) -> Column:
-        return F.when(F.length(z) < 2, F.array(z)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(z) - 1, F.lit(1))), lambda i: F.substr(z, i, F.lit(2)))))
+    def grams(c: Column) -> Column:
+        pairs = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y))
+        return F.when(F.size(c) < 2, F.array(F.array_join(c, ""))).otherwise(F.array_distinct(pairs))
 
-    return bind(F.regexp_replace(normed, SPACE + "+", ""), grams)
+    # characters first: a place in a string is found by counting from its start, one in an array at once
+    return bind(F.filter(F.split(F.regexp_replace(normed, SPACE + "+", ""), ""), lambda c: c != ""), grams)
 
 
 def strip_spoken(query: Column) -> Column:

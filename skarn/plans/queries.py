@@ -35,7 +35,7 @@ def one(spark: SparkSession, text: str) -> DataFrame:
 
 # ---- retrieval
 
-@query(f"WITH {Q.TOOLS}, {Q.LIVE} SELECT id, 1.0 AS score FROM live WHERE name = 'red widget' ORDER BY ord LIMIT 5")
+@query(f"WITH {Q.TOOLS}, {Q.LIVE} SELECT id, CAST(1 AS DOUBLE) AS score FROM live WHERE name = 'red widget' ORDER BY ord LIMIT 5")
 def search_exact(spark, d):
     hits = S.exact(S.filtered(A.catalog(spark, d)), S.asked(one(spark, "Red  Widget")))
     return hits.orderBy("ord").limit(5).select("id", "score")
@@ -71,7 +71,7 @@ def tokenize_docs(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.size(X.tokens(X.norm(F.col("text")))).cast("long").alias("n_tokens"))
 
 
-@query(f"WITH n AS (SELECT doc_id, {Q.norm('text')} AS t FROM documents) SELECT doc_id, CAST(len({Q.bigrams('t')}) AS BIGINT) AS n_grams FROM n")
+@query(f"WITH n AS (SELECT doc_id, {Q.norm('text')} AS t FROM documents), z AS (SELECT doc_id, {Q.squeezed('t')} AS z FROM n) SELECT doc_id, CAST(len({Q.bigrams('z')}) AS BIGINT) AS n_grams FROM z")
 def bigrams_docs(spark, d):
     return A.table(spark, d, "documents").select("doc_id", F.size(X.bigrams(X.norm(F.col("text")))).cast("long").alias("n_grams"))
 

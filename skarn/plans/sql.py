@@ -17,9 +17,13 @@ def tokens(normed: str) -> str:
     return f"list_distinct(list_concat({words}, list_filter({SUB}, lambda k: contains({normed}, k))))"
 
 
-def bigrams(normed: str) -> str:
-    z = f"regexp_replace({normed}, '{SPACE}+', '', 'g')"
-    return f"CASE WHEN length({z}) < 2 THEN [{z}] ELSE list_distinct(list_transform(range(1, length({z})), lambda i: substr({z}, i, 2))) END"
+def squeezed(normed: str) -> str:
+    return f"regexp_replace({normed}, '{SPACE}+', '', 'g')"
+
+
+def bigrams(z: str) -> str:
+    """Distinct bigrams of a column without white space (a column, not an expression: it is read for each of them)."""
+    return f"CASE WHEN length({z}) < 2 THEN [{z}] ELSE list_distinct(list_transform(range(1, length({z})), lambda i: {z}[i : i + 1])) END"
 
 
 def round_to(x: str, digits: int) -> str:
@@ -29,7 +33,7 @@ def round_to(x: str, digits: int) -> str:
 TOOLS = """tools AS (
     SELECT 'part-' || p_partkey AS id, p_name AS name, 'https://github.com/' || replace(lower(p_brand), '#', '-') || '/' || replace(p_name, ' ', '-') AS url,
         p_name || ' ' || p_type || ' ' || p_brand AS description, p_type AS cat, lower(p_brand) AS language,
-        list_distinct(list_concat(string_split(p_name, ' '), [lower(p_type)])) AS triggers,
+        CASE WHEN list_contains(string_split(p_name, ' '), lower(p_type)) THEN string_split(p_name, ' ') ELSE list_append(string_split(p_name, ' '), lower(p_type)) END AS triggers,
         CASE WHEN p_partkey % 10 = 0 THEN 'deprecated' WHEN p_partkey % 10 = 1 THEN 'experimental' ELSE 'active' END AS status,
         CASE WHEN p_size % 3 = 0 THEN [lower(p_type) || '-kit'] ELSE [] END AS capabilities,
         CASE WHEN p_size % 5 <> 0 THEN 'rag ' || p_type END AS use_case,
@@ -76,14 +80,14 @@ def keyword() -> str:
 def semantic(docs: str) -> str:
     """Third-tier scores over table docs (id, ord, text) for q, as table l3 (id, ord, c, cos, dice)."""
     n = norm("text")
-    return f"""dn AS (SELECT id, ord, {n} AS t FROM {docs}),
+    return f"""d0 AS (SELECT id, ord, {n} AS t FROM {docs}), dn AS (SELECT *, {squeezed('t')} AS z FROM d0), q0 AS (SELECT {squeezed('nq')} AS z FROM q),
         dt AS (SELECT id, unnest({tokens('t')}) AS token FROM dn),
         df AS (SELECT token, ln(((SELECT count(*) FROM dn) + 1) / (count(*) + 1)) + 1 AS idf FROM dt GROUP BY token),
         dl AS (SELECT id, sqrt(sum(idf * idf)) AS dn FROM dt JOIN df USING (token) GROUP BY id),
         qt AS (SELECT token, coalesce(idf, 1.0) AS qw FROM (SELECT unnest(toks) AS token FROM q) LEFT JOIN df USING (token)),
         ql AS (SELECT sqrt(sum(qw * qw)) AS qn FROM qt),
         co AS (SELECT id, sum(qw * qw) / ((SELECT qn FROM ql) * any_value(dl.dn)) AS cos FROM dt JOIN qt USING (token) JOIN dl USING (id) GROUP BY id),
-        dg AS (SELECT id, {bigrams('t')} AS g FROM dn), qg AS (SELECT {bigrams('nq')} AS h FROM q),
+        dg AS (SELECT id, {bigrams('z')} AS g FROM dn), qg AS (SELECT {bigrams('z')} AS h FROM q0),
         di AS (SELECT id, 2.0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS dice FROM dg, qg),
         l3 AS (SELECT id, ord, coalesce(cos, 0) AS cos, coalesce(dice, 0) AS dice, 0.6 * coalesce(cos, 0) + 0.4 * coalesce(dice, 0) AS c
                FROM dn LEFT JOIN co USING (id) LEFT JOIN di USING (id) WHERE 0.6 * coalesce(cos, 0) + 0.4 * coalesce(dice, 0) >= 0.03)"""
