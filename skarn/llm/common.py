@@ -145,15 +145,17 @@ def by_key(df: DataFrame, key: str, fn, schema: str, *then: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), key).sortWithinPartitions(key, *then).mapInArrow(fn, schema)
 
 
-def in_blocks(rows: DataFrame, size: int, weight: str | None = None) -> DataFrame:
+def in_blocks(rows: DataFrame, size: int, weight: str | None = None, need: str | None = None) -> DataFrame:
     """Deals rows (key, id, ...) into comparison tasks of at most about 2 * size rows.
 
     A key with more than `size` rows is split by a hash of id into blocks, and every pair of blocks (and each
     block alone) becomes a task of its own, so no task holds a whole hot key. Adds `task` (long), `left` and
     `right` (the two block numbers) and `block`. Keys with one row only go, unless rows hold several things
-    each, as many as the column `weight` says; size counts those then.
+    each, as many as the column `weight` says; size counts those then. need: a boolean column that is true in some
+    row of each key that stays.
     """
-    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key") if weight is None else F.sum(weight).alias("n_key")).filter("n_key > 1")
+    n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key") if weight is None else F.sum(weight).alias("n_key"), *([F.max(need).alias("ok_key")] if need else []))
+    n = n.filter("n_key > 1 and ok_key").drop("ok_key") if need else n.filter("n_key > 1")
     hot = rows.join(n, "key").withColumn("n_blocks", F.expr(f"cast((n_key + {size - 1}) div {size} as int)"))
     hot = hot.withColumn("block", F.expr("cast(pmod(xxhash64(id, 17L), n_blocks) as int)"))
     hot = hot.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
