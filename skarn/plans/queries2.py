@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
-from skarn.operators import catalog, classify, contract, graph, jobs
+from skarn.operators import catalog, classify, contract, graph, jobs, reports
 from skarn.plans import sql as Q
 from skarn.plans.queries import query
 from skarn.sources import adapters as A
+from skarn.sources import connectors
 
 _PEN = "(CASE WHEN len(triggers) < 2 THEN 15 ELSE 0 END + CASE WHEN length(trim(description)) < 15 THEN 15 ELSE 0 END + CASE WHEN use_case IS NULL THEN 20 ELSE 0 END + CASE WHEN len(negs) = 0 THEN 20 ELSE 0 END + CASE WHEN len(advantages) = 0 THEN 15 ELSE 0 END)"
 _NW = "(CASE WHEN len(triggers) < 2 THEN 1 ELSE 0 END + CASE WHEN length(trim(description)) < 15 THEN 1 ELSE 0 END + CASE WHEN use_case IS NULL THEN 1 ELSE 0 END + CASE WHEN len(negs) = 0 THEN 1 ELSE 0 END + CASE WHEN len(advantages) = 0 THEN 1 ELSE 0 END)"
@@ -413,3 +414,59 @@ def dense_cosine_topk(spark, d):
 def weekly_windows(spark, d):
     w = A.table(spark, d, "events").groupBy(F.window("ts", "7 days", "7 days", "4 days").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return w.select(F.to_date("w.start").alias("week_start"), "n")
+
+
+# ---- connectors and reports
+
+@query(f"""WITH {Q.TOOLS}, t AS (SELECT 'total' AS kind, 'tools' AS label, count(*) AS value FROM tools UNION ALL SELECT 'total', 'stars', CAST(sum(stars) AS BIGINT) FROM tools UNION ALL SELECT 'total', 'mean_stars', CAST(floor(avg(stars) + 0.5) AS BIGINT) FROM tools),
+    c AS (SELECT 'category', cat, count(*) FROM tools GROUP BY cat ORDER BY 3 DESC, 2 LIMIT 5), l AS (SELECT 'language', language, count(*) FROM tools GROUP BY language ORDER BY 3 DESC, 2 LIMIT 5)
+    SELECT * FROM t UNION ALL SELECT * FROM c UNION ALL SELECT * FROM l""")
+def statistics_page(spark, d):
+    return reports.statistics(A.catalog(spark, d))
+
+
+@query("SELECT p_partkey // 25 AS repo, 'tools/' || p_name || p_partkey AS path, CASE WHEN p_size % 2 = 0 THEN 'skill' ELSE 'readme' END AS kind FROM part WHERE p_partkey // 25 % 2 = 0 AND p_partkey % 25 < 10")
+def monorepo_parts(spark, d):
+    p = A.table(spark, d, "part")
+    odd = F.floor(F.col("p_partkey") / 25) % 2 == 1
+    listing = p.select(F.floor(F.col("p_partkey") / 25).cast("string").alias("repo"), F.concat(F.when(odd, "src/").otherwise("tools/"), "p_name", F.col("p_partkey").cast("string")).alias("path"), F.col("p_partkey").alias("ord"), (F.col("p_size") % 2 == 0).alias("has_skill"), F.lit(True).alias("has_readme"))
+    return connectors.monorepo_parts(listing).select(F.col("repo").cast("long").alias("repo"), "path", "kind")
+
+
+@query("""SELECT n_nationkey AS repo, CASE WHEN n_nationkey % 3 = 0 THEN 'main' WHEN n_nationkey % 3 = 1 THEN 'master' ELSE 'dev' END AS branch FROM nation""")
+def first_branch(spark, d):
+    k = F.col("n_nationkey")
+    rows = A.table(spark, d, "nation").select(k.alias("repo"), F.explode(F.array(F.lit("dev"), F.lit("main"), F.lit("master"), F.lit("other"))).alias("branch"))
+    r, b = F.col("repo") % 3, F.col("branch")
+    answered = (b == "dev") | (b == "other") | (b == "main") & (r == 0) | (b == "master") & (r <= 1)
+    return connectors.first_branch(rows.withColumn("content", F.when(answered, "text"))).select("repo", "branch")
+
+
+@query("SELECT p_partkey AS k, replace(p_name, ' ', '-') AS id, CASE WHEN p_partkey % 2 = 0 THEN 'pip' ELSE 'git-clone-sparse' END AS method, 'experimental' AS status FROM part")
+def scanned_tools(spark, d):
+    k = F.col("p_partkey")
+    name = F.replace("p_name", F.lit(" "), F.lit("-"))
+    meta = A.table(spark, d, "part").select(F.concat(F.lit("https://github.com/o/"), k.cast("string"), F.lit("/")).alias("url"), F.lit("o").alias("owner"), F.when(k % 2 == 0, name).otherwise("r").alias("repo"), F.when(k % 2 == 1, F.concat(F.lit("x/"), name)).alias("subpath"), F.col("p_type").alias("description"), F.lit("python").alias("language"), F.array("p_brand").alias("topics"))
+    s = connectors.scanned_tool(meta)
+    return s.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("k"), "id", "method", "status")
+
+
+@query("""SELECT * FROM (VALUES (1, '2026-W32', 'a/b'), (2, '2026-W31', 'c/d')) t(k, week, first)""")
+def leaderboard_fields(spark, d):
+    rows = [(1, '{"lastWeek":{"week":"2026-W32","items":[{"rank":1,"fullName":"a/b"}]},"week":"old"}'), (2, '{"week":"2026-W31","items":[{"rank":1,"fullName":"c/d"}]}')]
+    f = connectors.leaderboard_fields(F.col("doc"))
+    return spark.createDataFrame(rows, "k int, doc string").select("k", f["week"].alias("week"), F.get(f["items"], F.lit(0))["fullName"].alias("first"))
+
+
+@query()
+def leaderboard_view(spark, d):
+    from skarn.plans.queries import weekly_leaderboard
+
+    return reports.leaderboard_view(weekly_leaderboard(spark, d))
+
+
+@query()
+def weekly_report(spark, d):
+    from skarn.plans.queries import weekly_leaderboard
+
+    return reports.weekly_report(weekly_leaderboard(spark, d), "2001-W30", 25, 25)

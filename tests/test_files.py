@@ -72,3 +72,15 @@ def test_stream_join(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("joined").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("joined").count() == 1
+
+
+def test_live_repositories(spark, tmp_path):
+    from skarn.operators.trending import first_seen
+    from skarn.sources.connectors import live_repositories
+
+    item = lambda n, stars, fork=False: {"full_name": n, "name": n.split("/")[1], "owner": {"login": n.split("/")[0]}, "stargazers_count": stars, "fork": fork, "topics": ["t"]}
+    (tmp_path / "a.json").write_text(json.dumps({"items": [item("a/b", 5), item("f/f", 1, True)]}))
+    (tmp_path / "b.json").write_text(json.dumps({"items": [item("a/b", 9), item("c/d", 2)]}))
+    (tmp_path / "c.json").write_text("{broken")
+    live = live_repositories(spark, [str(tmp_path / f"{x}.json") for x in "abcx"])
+    assert sorted((r["full_name"], r["stars"]) for r in first_seen(live).collect()) == [("a/b", 5), ("c/d", 2)]
