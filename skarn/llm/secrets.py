@@ -23,8 +23,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts: none of them crosses a line.
-WEAK_ID = r"(?i:access_?key(?:_?id)?|client_?id|user_?name|account|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@+/_.-]{3,}"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_]*[0-9])(?=[A-Za-z0-9+/_]*[a-z])(?=[A-Za-z0-9+/_]*[A-Z])[A-Za-z0-9+/_]{20,}={0,2}"
+WEAK_ID = r"(?i:(?<!secret)(?<!secret[_-])access_?key(?:_?id)?|client_?id|user_?name|account|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@+/_.-]{3,}"
+#: A token that no name of an identifier or host stands before, or whatever a secret access key is set to.
+_SET = r"[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?"
+WEAK_SECRET = (
+    r"(?<![A-Za-z0-9+/_.-])(?:(?=[A-Za-z0-9+/_]{20})(?=[A-Za-z0-9+/_]*[0-9])(?=[A-Za-z0-9+/_]*[a-z])(?=[A-Za-z0-9+/_]*[A-Z])"
+    rf"(?<!(?i:(?<!secret)(?<!secret[_-])access_?key(?:_?id)?|client_?id|user_?name|account|login|host|endpoint|server){_SET})[A-Za-z0-9+/_]{{20,}}={{0,2}}"
+    rf"|(?=[A-Za-z0-9+/_.-]{{6}})(?<=[:=\x20\"'])(?<=(?i:secret[_-]?access_?key){_SET})[A-Za-z0-9+/_.-]{{6,}}={{0,2}})"
+)
 WEAK_ENDPOINT = r"(?:(?:https?|s3|jdbc:[a-z]{2,12}|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9@:._-]+|(?i:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._-]{4,})"
 BREAK = r"\n[\x20\t\r]*\n"
 
