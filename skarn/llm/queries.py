@@ -40,9 +40,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from skarn.llm.lines import dedup
+    from skarn.llm.lines import dedup_every
 
-    return dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return dedup_every(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op6_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,6 +171,12 @@ def test_lines(spark, odd, brute_groups):
     assert any(n for _, _, _, n in got)
 
 
+def test_lines_short(spark):
+    docs = spark.createDataFrame([(1, "Read more\nShare\n\n \n这是一个没有空格的句子\n7"), (2, "read  MORE\n\n \nshare\n这是一个没有空格的句子\n8\nown")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_every(docs).collect()}
+    assert got == {1: ("Read more\nShare\n\n \n这是一个没有空格的句子\n7", 0), 2: ("\n \nown", 4)}
+
+
 def test_lines_odd(odd, nothing):
     out = lines.dedup(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_removed"]
