@@ -177,6 +177,31 @@ def test_lines_short(spark):
     assert got == {1: ("Read more\nShare\n\n \n这是一个没有空格的句子\n7", 0), 2: ("\n \nown", 4)}
 
 
+def test_lines_brute(spark, odd, brute_groups):
+    import random
+
+    rnd = random.Random(7)
+    vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None and r["text"] is not None]
+    for k in range(120):
+        ws = [rnd.choice(vocab) for _ in range(rnd.choice([1, 2, 4, 8, 20, 50]))]
+        changed = list(ws)
+        changed[rnd.randrange(len(ws))] = rnd.choice(vocab)
+        docs += [(1000 + k, " ".join(ws)), (2000 + k, "\n".join([" ".join(changed), " ".join(ws)[1:], "", "这是一个没有空格的句子" + "甲乙"[k % 2]]))]
+    at = [(i, k, " ".join(map(bytes.decode, ws))) for i, t in docs for k, ws in enumerate(lines.normalised(t)) if ws]
+    texts = sorted({x for *_, x in at})
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if lines.within(texts[a], texts[b], int(0.1 * max(len(texts[a]), len(texts[b])) + 1e-9))]
+    root = brute_groups(pairs, range(len(texts)))
+    group = {x: root[k] for k, x in enumerate(texts)}
+    first = {}
+    for i, k, x in sorted(at):
+        first.setdefault(group[x], (i, k))
+    gone = Counter(i for i, k in {(i, k) for i, k, x in at if first[group[x]] != (i, k)})
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_every(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: gone[i] for i, _ in docs}
+    assert len(pairs) > 200
+
+
 def test_lines_odd(odd, nothing):
     out = lines.dedup(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_removed"]
