@@ -3,7 +3,8 @@
 Unit vectors are projected at random to 8 dimensions, scaled, and decoded to the nearest point of the E8 lattice, in
 several tables. A vector is stored in its own cell and also probes the `probes` neighbouring cells nearest to it, of the
 240 around. Vectors that meet, one of them at home, are compared by cosine in double precision; labels must be
-equal. How many projections make a key (`stages`) follows from the number of vectors for each label, so cells stay small.
+equal. How many projections make a key (`stages`) follows from the number of vectors for each label, so cells stay small; the
+tables grow with them, so that recall stays the same. Where `stages` is given, `tables` are as given.
 
 A pair is judged only where it meets first, so link counts add up without listing pairs. Equal vectors of one label are one
 row with a weight. Cells that hold many vectors are compared in blocks.
@@ -27,6 +28,8 @@ from skarn.llm.common import Forest, by_key, components, cut, in_blocks, mix64,
 
 #: Cells that a table of one projection spreads vectors over, about.
 CELLS = 2000
+#: Times as many tables for each further projection in a key: a pair at the threshold meets as surely as with one.
+MORE = 4
 
 
 def _d8(x: np.ndarray) -> np.ndarray:
@@ -121,6 +124,7 @@ def links(vectors: DataFrame, least: float = 0.93, tables: int = 8, probes: int
     n, labels = reps.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if stages is None:
         stages = max(1, math.ceil(math.log(max(n / max(labels, 1) / 64, 1)) / math.log(CELLS)))
+        tables *= MORE ** (stages - 1)
 
     def matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length: the rows that have it, and their unit vectors."""

@@ -116,3 +116,22 @@ def test_chat(spark, path):
         assert len(r["ids"]) // 4 == len(r["loss"])
     assert chat.digests(chat.format_chats(df, path)).count() == 64
     assert chat.digests(chat.format_chats(df.limit(0), path)).count() == 0
+
+
+def test_lattice_stages(spark, monkeypatch):
+    """Links at the threshold are found at production parameters where the number of vectors asks for two stages."""
+    rnd = np.random.default_rng(5)
+    a, z = rnd.standard_normal((2, 600, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    z -= (z * a).sum(1)[:, None] * a
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    b = 0.9301 * a + np.sqrt(1 - 0.9301**2) * z
+    k, m = (lattice.keys(x, np.ones(600, np.int64), 8, 2, 6, 0.55) for x in (a, b))
+    hit = ((k[:, :, :1] == m).any(2) | (k == m[:, :, :1]).any(2)).any(1)
+    a, b = (np.concatenate([x[~hit], x[hit][: 40 - (~hit).sum()]]) for x in (a, b))  # those that eight tables miss, and some others
+    assert 0 < (~hit).sum() < 40
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(lattice, "CELLS", 1.2)
+    got = lattice.links(df).collect()
+    assert sum(r["n_links"] for r in got) == 80
+    assert all(r["component_id"] == r["vec_id"] % 40 for r in got)
