@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Word rule shared by the operators: maximal runs of anything but space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words remembered by one Python worker before it starts over; bounds its memory.
-MEMO = 700_000
+#: Words remembered by one Python worker before it starts over; bounds what an idle worker holds.
+MEMO = 200_000
 MASK = (1 << 64) - 1
 
 _own_dirs: dict[str, str] = {}
@@ -48,7 +48,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skarn-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.__dict__["cut_path"] = path
+    return again
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the table of a frame that cut() gave, once nothing is derived from it any more."""
+    path = df.__dict__.get("cut_path")
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -150,23 +169,40 @@ def in_blocks(rows: DataFrame, size: int, weight: str | None = None, need: str |
 
     A key with more than `size` rows is split by a hash of id into blocks, and every pair of blocks (and each
     block alone) becomes a task of its own, so no task holds a whole hot key. Adds `task` (long), `left` and
-    `right` (the two block numbers) and `block`. Keys with one row only go, unless rows hold several things
-    each, as many as the column `weight` says; size counts those then. need: a boolean column that is true in some
-    row of each key that stays.
+    `right` (the two block numbers), `block` and `whole` (the key is not split). Where rows hold several things each, as many as the column
+    `weight` says, size counts those. need: a boolean column; keys with one row, or with none where it is true, go.
+
+    Keys are counted by partial sums; only the hot ones, at most rows / size, are joined back, and by a broadcast
+    where their written table is small enough for Spark's own threshold. So rows move once, to their tasks.
     """
     n = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n_key") if weight is None else F.sum(weight).alias("n_key"), *([F.max(need).alias("ok_key")] if need else []))
-    n = n.filter("n_key > 1 and ok_key").drop("ok_key") if need else n.filter("n_key > 1")
-    hot = rows.join(n, "key").withColumn("n_blocks", F.expr(f"cast((n_key + {size - 1}) div {size} as int)"))
-    hot = hot.withColumn("block", F.expr("cast(pmod(xxhash64(id, 17L), n_blocks) as int)"))
-    hot = hot.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
+    if need:
+        rows = rows.join(n.filter("n_key > 1 and ok_key").select("key"), "key", "left_semi")
+    hot = cut(n.filter(F.col("n_key") > size).select("key", F.expr(f"cast((n_key + {size - 1}) div {size} as int)").alias("n_blocks")))
+    dealt = rows.join(hot, "key", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(id, 17L), n_blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
     return (
-        hot.withColumn("left", F.least("block", "other"))
+        dealt.withColumn("left", F.least("block", "other"))
         .withColumn("right", F.greatest("block", "other"))
         .withColumn("task", F.xxhash64("key", "left", "right"))
-        .drop("n_key", "n_blocks", "other")
+        .withColumn("whole", F.col("n_blocks") == 1)
+        .drop("n_blocks", "other")
     )
 
 
+def spread_join(rows: DataFrame, one: DataFrame, key: str, size: int = 5000, how: str = "inner") -> DataFrame:
+    """rows joined with `one` (a row for each value of `key`, which is never null), hot values dealt over several tasks.
+
+    Values with more than `size` rows, counted by partial sums, get a salt for each `size` rows; `one` repeats its row for
+    each salt of such a value.
+    """
+    hot = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_salts")).filter(F.col("n_salts") > size).select(key, F.expr(f"cast((n_salts + {size - 1}) div {size} as int)").alias("n_salts")))
+    salted = rows.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("n_salts")).cast("int"), F.lit(0))).drop("n_salts")
+    every = one.join(hot, key, "left").withColumn("salt", F.explode(F.expr("sequence(0, coalesce(n_salts, 1) - 1)"))).drop("n_salts")
+    return salted.join(every, [key, "salt"], how).drop("salt")
+
+
 class Forest:
     """Union-find over 0..n-1 that keeps the smallest member as root."""
 
@@ -188,14 +224,40 @@ class Forest:
         return True
 
 
+def _local_forests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one task, as the stars of their components."""
+    parts = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, where = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    a, b = where.reshape(2, -1)
+    up = linked_up(np.arange(len(nodes)), a, b)
+    out = np.flatnonzero(up != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[up[out]])], names=["a", "b"])
+
+
+def linked_up(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's group, after links a-b join the groups that `up` says."""
+    while len(a):
+        low = np.minimum(up[a], up[b])
+        np.minimum.at(up, up[a], low)
+        np.minimum.at(up, up[b], low)
+        while (up[up] != up).any():
+            up = up[up]
+        apart = up[a] != up[b]
+        a, b = a[apart], b[apart]
+    return up
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id in edges (a, b), root being the smallest id that links reach.
 
-    Alternating large-star and small-star steps; minima are combined before the shuffle, and each round
-    is cut, so the plan stays short however long the chains are. Self edges only add their id.
+    Edges of a task first shrink to stars. Then alternating large-star and small-star steps; minima are combined before
+    the shuffle, and each round is cut, so the plan stays short however long the chains are. Self edges only add their id.
+    Raises if it has not settled after `rounds`.
     """
     nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_local_forests, "a long, b long").distinct())
     seen = None
     for _ in range(rounds):
         both = e.union(e.select("b", "a"))
@@ -203,9 +265,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         star = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         near = star.join(low, "a")
-        e = cut(near.select("a", F.col("m").alias("b")).union(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        last, e = e, cut(near.select("a", F.col("m").alias("b")).union(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        drop(last)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components: not settled after {rounds} rounds")
     return nodes.join(e.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))

@@ -2,7 +2,7 @@
 
 A byte-level BPE file splits a text into pieces before any merge and encodes each piece by itself. Texts made
 of printable ASCII, ASCII white space and Latin letters are split here by the same rule and their pieces are
-remembered; any other text goes to the library whole. Both ways give the same ids (tests/llm/test_packing.py).
+remembered; any other text goes to the library whole. Both ways give the same ids (tests/llm/test_documents.py).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ PLAIN = rf"[\t\n\x0b\x0c\r\x20-\x7e{LETTERS}]*"
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.plain, self.pieces = re.compile(PLAIN), re.compile(PIECE)

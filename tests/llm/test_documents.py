@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from skarn.llm import jaccard, lines, mixing, packing, quality, secrets, substring
 from skarn.llm.tokens import Encoder
 
@@ -124,56 +126,9 @@ def test_substring_nothing(nothing):
 
 # ---- lines
 
-def brute_lines(docs, bits=3, similarity=0.9, least=3):
-    import xxhash
-
-    from skarn.llm.common import WordHash, hash_words
-
-    occurrences, rows = defaultdict(list), []
-    for i, t in docs:
-        if t is None:
-            continue
-        for k, ws in enumerate(lines.normalised(t)):
-            if len(ws) >= least:
-                occurrences[b" ".join(ws)].append((i is None, i if i is not None else 0, t, k))
-    keys = list(occurrences)
-    flat, ends = hash_words([list(set(k.split())) for k in keys], WordHash())
-    sim = lines.simhashes(flat, ends)
-    pairs = []
-    for a in range(len(keys)):
-        for b in range(a):
-            x, y = keys[a].decode(), keys[b].decode()
-            if bin(int(sim[a] ^ sim[b])).count("1") <= bits and lines.within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)):
-                pairs.append((a, b))
-    del xxhash, rows
-    return keys, occurrences, pairs
-
-
-def test_lines(spark, odd, brute_groups):
-    docs = [(r["doc_id"], r["text"]) for r in odd.collect() if r["doc_id"] is not None]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    keys, occurrences, pairs = brute_lines(docs)
-    root = brute_groups(pairs, range(len(keys)))
-    members = defaultdict(list)
-    for k, r in root.items():
-        members[r] += [(i, k2) for _, i, _, k2 in occurrences[keys[k]]]
-    gone = defaultdict(set)
-    for places in members.values():
-        for i, k in places:
-            if (i, k) != min(places):
-                gone[i].add(k)
-    got = {(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup(df).collect()}
-    want = set()
-    for i, t in docs:
-        ls = [] if t is None else t.split("\n")
-        want.add((i, None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone[i]), len(ls), len(gone[i])))
-    assert got == want
-    assert any(n for _, _, _, n in got)
-
-
 def test_lines_short(spark):
     docs = spark.createDataFrame([(1, "Read more\nShare\n\n \n这是一个没有空格的句子\n7"), (2, "read  MORE\n\n \nshare\n这是一个没有空格的句子\n8\nown")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_every(docs).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup(docs).collect()}
     assert got == {1: ("Read more\nShare\n\n \n这是一个没有空格的句子\n7", 0), 2: ("\n \nown", 4)}
 
 
@@ -197,7 +152,7 @@ def test_lines_brute(spark, odd, brute_groups):
     for i, k, x in sorted(at):
         first.setdefault(group[x], (i, k))
     gone = Counter(i for i, k in {(i, k) for i, k, x in at if first[group[x]] != (i, k)})
-    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup_every(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: gone[i] for i, _ in docs}
     assert len(pairs) > 200
 
@@ -219,13 +174,56 @@ def test_within(a, b, limit):
     assert lines.within(a, b, limit) == (d[-1] <= limit)
 
 
-def test_tables():
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abcé", max_size=30), st.text("abcé", max_size=30)), max_size=6), st.sampled_from([0.5, 0.7, 0.9]))
+def test_close(pairs, similarity):
+    """Batched bands against the single distance."""
+    pairs += [(x * 3, x * 2 + y) for x, y in pairs]
+    want = [lines.within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)) for x, y in pairs]
+    assert lines.close([x for x, _ in pairs], [y for _, y in pairs], similarity).tolist() == want
+
+
+@pytest.mark.parametrize("size", [4, 8, 20, 50])
+def test_line_recall(spark, size):
+    """Of lines with one letter or one word changed: how many copies go, by edit similarity alone."""
+    import random
+
+    rnd = random.Random(size)
+    vocab = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(3000)]
+    docs, near = [], 0
+    for k in range(400):
+        ws = [rnd.choice(vocab) for _ in range(size)]
+        x = " ".join(ws)
+        if k % 2:
+            at = rnd.randrange(len(x))
+            y = x[:at] + "q" + x[at + 1 :]
+        else:
+            changed = list(ws)
+            changed[rnd.randrange(size)] = rnd.choice(vocab)
+            y = " ".join(changed)
+        near += lines.within(x, y, int(0.1 * max(len(x), len(y)) + 1e-9))
+        docs += [(k, x), (1000 + k, y)]
+    got = sum(r["n_removed"] for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert 0.97 * near <= got <= near
+
+
+def test_blocks():
     for n in (10, 10**6, 10**9, 10**12):
-        t = lines.tables(n, 3)
-        rng = np.random.default_rng(n % 97)
-        for _ in range(200):
-            flips = set(rng.choice(64, 3, replace=False).tolist())
-            assert any(not flips & set(p) for p in t)
+        t, long = lines.blocks(n)
+        rows = len(t[0])
+        assert all(len(set(x)) == len(x) == rows - (k >= long) for k, x in enumerate(t))
+        assert n / 2.0 ** (8 * rows) < 0.05 or n <= 4_000_000
+        assert 1 - (1 - 0.7**rows) ** long >= 0.98
+
+
+def test_lines_clash(spark, odd):
+    """Extra columns of every name used inside pass through."""
+    names = ["gone_row", "gone_doc", "gone_lines", "id", "row", "line", "root", "first", "n", "a", "b", "key", "salt", "whole", "task", "Row"]
+    df = spark.createDataFrame([(1, "one line here\nother"), (2, "one line here")], "doc_id long, text string")
+    for k, n in enumerate(names[:-1]):
+        df = df.withColumn(n, F.lit(k))
+    got = {r["doc_id"]: r for r in lines.dedup(df).collect()}
+    assert got[2]["n_removed"] == 1 and all(got[2][n] == k for k, n in enumerate(names[:-1]))
 
 
 # ---- Jaccard
