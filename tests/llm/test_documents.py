@@ -208,12 +208,18 @@ def test_line_recall(spark, size):
 
 
 def test_blocks():
+    """Lines that share 0.7 of their min-hashes meet, at every size, while unlike ones don't."""
+    rng = np.random.default_rng(0)
     for n in (10, 10**6, 10**9, 10**12):
-        t, long = lines.blocks(n)
-        rows = len(t[0])
-        assert all(len(set(x)) == len(x) == rows - (k >= long) for k, x in enumerate(t))
+        got = lines.blocks(n)
+        rows = len(got[0][0]) + len(got[0][1][0])
         assert n / 2.0 ** (8 * rows) < 0.05 or n <= 4_000_000
-        assert 1 - (1 - 0.7**rows) ** long >= 0.98
+        same = rng.random((4000, lines.SLOTS)) < 0.7
+        met = np.zeros(4000, bool)
+        for travel, long, short in got:
+            assert all(len(x) == rows - len(travel) and not set(x) & set(travel) for x in long) and all(len(x) == rows - len(travel) - 1 for x in short)
+            met |= same[:, travel].all(1) & np.any([same[:, x].all(1) for x in long], axis=0)
+        assert met.mean() >= 0.985
 
 
 def test_lines_clash(spark, odd):
