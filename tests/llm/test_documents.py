@@ -51,7 +51,7 @@ def test_packing(odd, path):
     rows = packing.pack(odd, path, window=256).collect()
     seqs = check_pieces(rows, docs, path, 256)
     assert sum(sum(n for _, n in p) < 256 for p in seqs.values()) <= 1  # one shard: one short window
-    rows = packing.pack(odd, path, window=256, shard_chars=20_000).collect()
+    rows = packing.pack(odd, path, window=256, shard_tokens=10_000).collect()
     check_pieces(rows, docs, path, 256)
     one = sorted((r for r in rows if r["doc_id"] == 306), key=lambda r: r["start"])
     from tokenizers import Tokenizer
@@ -73,6 +73,59 @@ def test_packing_neighbours(spark, path):
     assert sum(x != y for x, y in zip(order, order[1:])) < 6  # alternating input comes out in runs of a kind
 
 
+def test_bm25_brute():
+    """Scores over the query terms, and the order of the nearest, against the formula."""
+    import math
+    import random
+
+    rnd = random.Random(2)
+    docs = [np.array([rnd.randrange(30) for _ in range(rnd.randint(1, 40))], np.uint32) for _ in range(40)]
+    df, mean = Counter(t for d in docs for t in set(d.tolist())), sum(map(len, docs)) / 40
+
+    def impact(t, d):
+        tf = d.tolist().count(t)
+        return math.log1p((40 - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+
+    index = packing.Bm25(docs, 1000)
+    for i, q in enumerate(docs):
+        want = [sum(impact(t, d) for t in set(q.tolist())) for d in docs]
+        assert np.allclose(index.scores(i), want, rtol=1e-4, atol=1e-4)
+    order = packing.reading_order(docs, 200, 1000)
+    assert sorted(order) == list(range(40)) and order[0] == 0
+    assert order[1] == max(range(1, 40), key=lambda d: (index.scores(0)[d], -d))
+
+
+def test_packing_repeats(spark, path):
+    """Copies of one row end in different windows while others are free."""
+    import random
+
+    rnd = random.Random(3)
+    docs = [(i, " ".join(rnd.choice("abcdefghij") * 3 for _ in range(30))) for i in range(15)] * 4
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), path, window=256).collect()
+    seen = Counter((r["sequence_id"], r["doc_id"]) for r in rows if r["start"] == 0)
+    last = max(r["sequence_id"] for r in rows)
+    assert min((s for (s, _), n in seen.items() if n > 1), default=last) >= 0.75 * last  # where little else is left
+
+
+def test_packing_shards(spark, path):
+    """Near copies meet in one shard, however many there are, and every id is packed once."""
+    import random
+
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    docs = []
+    for i in range(150):
+        ws = [rnd.choice(vocab) for _ in range(120)]
+        docs += [(i, " ".join(ws)), (1000 + i, " ".join([*ws[:-2], "end"]))]
+    docs += [(5000 + i, docs[0][1]) for i in range(200)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), path, window=512, shard_tokens=20_000).collect()
+    check_pieces(rows, docs, path, 512)
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in rows}
+    assert len(set(shard.values())) > 4
+    assert sum(shard[i] == shard[1000 + i] for i in range(150)) > 120
+    assert max(Counter(shard.values()).values()) < 200  # the copies are split
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_encoder(text):
