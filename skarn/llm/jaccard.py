@@ -14,7 +14,8 @@ judged only in the smallest node it shares, so link counts add up without listin
 
 Defined results: null, empty and white-space texts have no shingles and link with nothing; rows that repeat, or
 differ in white space only, are copies and link with each other; documents with a null doc_id take part and count
-as links; a class of documents without any doc_id has a null class_id. Other columns are ignored.
+as links; a class of documents without any doc_id has a null class_id; a very long text is a set like any other, held by the tasks
+that compare it. Other columns are ignored. Distinct sets are told apart by a 64-bit sum of hashes.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import MASK, Forest, WordHash, by_key, components, cut, hash_words, in_blocks, mix64, multipliers, runs, small_batches, text_bytes, window_hash
+from skarn.llm.common import MASK, Forest, WordHash, by_key, components, cut, fresh, hash_words, in_blocks, mix64, multipliers, runs, small_batches, spread_join, text_bytes, window_hash
 
 SET = "row long, doc_id long, sid long, size long, sig binary"
 
@@ -93,7 +94,7 @@ def _owned(keys: list[list[int]], here: int) -> dict[int, np.ndarray]:
     return {k: np.array(v) for k, v in by.items()}
 
 
-def links(
+def members(
     docs: DataFrame,
     words: int = 5,
     threshold: float = 0.8,
@@ -104,8 +105,7 @@ def links(
     slack: float = 4.5,
     block: int = 768,
 ) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, class_id (smallest doc_id that links reach), n_links (other
-    documents with similarity >= threshold) and is_kept (the first document of its class)."""
+    """For each row of docs: doc_id, row (a hash of doc_id and text), root (names its class; null without words), class_id, n_links."""
     spark = docs.sparkSession
     small_batches(spark)
     row = F.xxhash64("doc_id", "text").alias("row")
@@ -168,7 +168,7 @@ def links(
 
     # each set with all its nodes: a pair belongs to the smallest node that both have
     nodes = leaves.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    members = nodes.join(reps.select("id", "sig"), "id").select(F.explode("keys").alias("key"), "id", "keys", "sig")
+    placed = nodes.join(reps.select("id", "sig"), "id").select(F.explode("keys").alias("key"), "id", "keys", "sig")
 
     def plausible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members of a task that have a partner there which their signatures don't rule out."""
@@ -199,7 +199,7 @@ def links(
             if good.any():
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(good.sum(), key), pa.int64()), pa.array(ids[good]), t.column("keys").combine_chunks().filter(pa.array(good))], names=["key", "id", "keys"])
 
-    some = by_key(in_blocks(members, 2048).select("task", "key", "left", "right", "block", "id", "keys", "sig"), "task", plausible, "key long, id long, keys array<long>")
+    some = by_key(in_blocks(placed, 2048).select("task", "key", "left", "right", "block", "id", "keys", "sig"), "task", plausible, "key long, id long, keys array<long>")
     some = cut(some.dropDuplicates(["key", "id"]))
 
     # what is left fetches its text, once for each of its nodes
@@ -257,8 +257,22 @@ def links(
     more = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "id")
     classes = reps.select("id", "first_id", "weight").join(root, "id", "left").join(more, "id", "left").select("id", "first_id", "weight", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     first = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of = classes.join(first, "root").select(F.col("id").alias("sid"), "class_id", (F.col("n") + F.col("weight") - 1).alias("n_links"))
-    out = every.select("doc_id", "sid").join(of, "sid", "left")
-    alone = F.col("sid").isNull()
-    class_id: Column = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    of = cut(spread_join(classes, first, "root").select(F.col("id").alias("sid"), "root", "class_id", (F.col("n") + F.col("weight") - 1).alias("n_links")))
+    linked = spread_join(every.filter("sid is not null").select("doc_id", "row", "sid"), of, "sid").select("doc_id", "row", "root", "class_id", "n_links")
+    alone = every.filter("sid is null").select("doc_id", "row", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.union(alone)
+
+
+def links(docs: DataFrame, **how) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, class_id (smallest doc_id that links reach), n_links (other
+    documents with similarity >= threshold) and is_kept (the first document of its class). Parameters as for members."""
+    return members(docs, **how).select("doc_id", "class_id", "n_links").withColumn("is_kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """docs with one row of each class: its smallest doc_id (null last), then hash of the text. Rows that repeat stay once; texts without words stay."""
+    got = members(docs, **how)
+    best = got.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best"))
+    kept = best.select(F.col("best.row").alias("row")).union(got.filter("root is null").select("row")).distinct()
+    row = fresh("kept_row", docs)
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(kept.withColumnRenamed("row", row), row, "left_semi").dropDuplicates([row]).drop(row)

@@ -414,3 +414,46 @@ def test_mixing(spark, odd, nothing):
     assert abs(half.count("small") / len(half) - sum(r["source"] == "small" for r in got) / len(got)) < 0.1
     assert mixing.mix(odd).count() > 0 and mixing.mix(odd, extras=False).columns == odd.columns
     assert mixing.mix(nothing).count() == 0
+
+
+def test_mixing_brute(spark):
+    """Exactly which rows appear, from the hash of each row."""
+    docs = [(i, "w " * (1 + i % 7), "abc"[0 if i < 300 else 1 if i < 360 else 2]) for i in range(372)] + [(900, None, "none"), (901, "x y", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["epoch"]) for r in mixing.mix(df, 0.9, 3.0, block_words=100).collect())
+    size = defaultdict(int)
+    for _, t, s in docs:
+        size[s] += len((t or "").split())
+    full = {s: float(w) for s, w in size.items() if w}
+    total = sum(full.values())
+    share = dict(zip(full, mixing.weights(list(full.values()), mixing.exponent_for(list(full.values()), total, 0.9, 3.0))))
+    want = Counter()
+    for s in size:
+        rows = [(i, t) for i, t, x in docs if x == s]
+        e = share[s] * total / size[s] if s in share else 1.0
+        for k in range(int(e)):
+            want.update((i, k) for i, _ in rows)
+        if e % 1 and s in share:
+            h = {r["doc_id"]: r["u"] for r in df.select("doc_id", mixing._hash(F.lit(int(e))).alias("u")).collect()}
+            used = 0
+            for i, t in sorted(rows, key=lambda r: h[r[0]]):
+                used += len((t or "").split())
+                if used > (e - int(e)) * size[s]:
+                    break
+                want[i, int(e)] += 1
+    assert got == want and max(k for _, k in got) >= 1
+
+
+def test_mixing_clash(spark):
+    """Extra columns of every name used inside pass through; many sources of few sizes give the same exponent as one by one."""
+    df = spark.createDataFrame([(i, "a b c", "st"[i % 2]) for i in range(20)], "doc_id long, text string, source string")
+    names = ["part", "whole", "stop", "blocks", "epochs", "mix_source", "mix_whole", "mix_epoch", "words", "u", "n", "upto", "stop_source", "end_source", "bucket", "d"]
+    for k, n in enumerate(names):
+        df = df.withColumn(n, F.lit(k))
+    got = mixing.mix(df).collect()
+    assert got and all(r[n] == k for r in got for k, n in enumerate(names))
+    same = mixing.mix(df.withColumn("block", F.lit("mine")), extras=False)
+    assert same.columns == [*df.columns, "block"] and same.filter("block = 'mine'").count() == len(got)
+    w = [5.0, 5.0, 80.0, 80.0, 80.0, 900.0]
+    assert abs(mixing.exponent_for(w, 1e3, 0.9, 4.0) - mixing.exponent_for([5.0, 80.0, 900.0], 1e3, 0.9, 4.0, [2.0, 3.0, 1.0])) < 1e-9
+    assert mixing.exponent_for(w, 1e9, 0.5, 4.0) == 1.0  # no exponent meets it
