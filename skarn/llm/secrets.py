@@ -10,7 +10,7 @@ The join is a sort by position in the scope and the last part before and first a
 candidate, so its cost follows the number of parts even where one scope holds a great many of them.
 
 Defined results: a null text is empty; rows that repeat are scanned each on their own; offsets count code points
-from 0, ends exclusive; a row without spans has an empty list. Other columns are ignored.
+from 0, ends exclusive; a row without spans has an empty list; a very long text is one row, its parts one sort. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,21 +61,24 @@ def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     in_kind = Window.partitionBy("row", "kind").orderBy("i")
     placed = rows.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_kind.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("start", F.col("end") - F.col("size")).filter(F.expr("kind is null or kind <> 0 or value >= 6"))
+    # what comes next is what a window over the reverse order has seen last: each row costs the same
     in_order = Window.partitionBy("row").orderBy("start", "kind")
+    in_reverse = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("scope", F.sum(F.when(F.col("kind") == 6, 1).otherwise(0)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     base_end = F.max(F.when(F.col("kind") <= 2, F.col("end"))).over(before)
-    base_next = F.min(F.when(F.col("kind") <= 2, F.col("start"))).over(in_order.rowsBetween(0, Window.unboundedFollowing))
+    base_next = F.min(F.when(F.col("kind") <= 2, F.col("start"))).over(in_reverse.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("clear", F.coalesce(base_end <= F.col("start"), F.lit(True)) & F.coalesce(base_next >= F.col("end"), F.lit(True)))
 
     in_scope = Window.partitionBy("row", "scope").orderBy("start", "kind")
+    scope_reverse = Window.partitionBy("row", "scope").orderBy(F.desc("start"), F.desc("kind"))
     part = (F.col("kind") <= 2) | F.col("clear")
 
     def beside(*of: int) -> Column:
         """Whether a part of these kinds lies within reach in the scope."""
         is_one = part & F.col("kind").isin(*of)
         last = F.max(F.when(is_one, F.col("end"))).over(in_scope.rowsBetween(Window.unboundedPreceding, -1))
-        then = F.min(F.when(is_one, F.col("start"))).over(in_scope.rowsBetween(1, Window.unboundedFollowing))
+        then = F.min(F.when(is_one, F.col("start"))).over(scope_reverse.rowsBetween(Window.unboundedPreceding, -1))
         return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(then - F.col("end") <= reach, F.lit(False))
 
     joined = placed.withColumn("by_secret", beside(0, 2, 4)).withColumn("by_other", beside(1, 3, 5))
