@@ -23,6 +23,11 @@ def details(ts: Column) -> Column:
     return F.struct(week_of(ts).alias("week"), m.alias("monday"), s.alias("sunday"), text.alias("date_range"))
 
 
+def stamp(ts: Column) -> Column:
+    """2026-08-05 12:30:00 UTC (in a session whose time zone is UTC)."""
+    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+
+
 def previous_week(ts: Column) -> Column:
     return week_of(F.date_sub(monday(ts), 7))
 

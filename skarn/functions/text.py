@@ -31,24 +31,20 @@ def bind(value: Column, body) -> Column:
 
 
 def tokens(normed: Column) -> Column:
-    """Distinct tokens of a normalised text, in order, with the sub-keywords that they contain."""
+    """Distinct tokens of a normalised text, in order, with the sub-keywords that they contain.
 
-    def extended(ts: Column) -> Column:
-        words = F.array(*[F.lit(k) for k in SUB_KEYWORDS])
-        return F.array_union(ts, F.filter(words, lambda k: F.exists(ts, lambda t: F.contains(t, k))))
-
-    return bind(F.array_distinct(F.filter(F.split(normed, SEPARATORS), lambda t: t != "")), extended)
+    Sub-keywords have no separator in them, so one lies in a token if it lies in the text.
+    """
+    words = F.array_compact(F.array(*[F.when(F.contains(normed, F.lit(k)), k) for k in SUB_KEYWORDS]))
+    return F.array_union(F.array_remove(F.split(normed, SEPARATORS), ""), words)
 
 
 def bigrams(normed: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space left out; a shorter text is its own."""
-
-    def grams(c: Column) -> Column:
-        pairs = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: F.concat(x, y))
-        return F.when(F.size(c) < 2, F.array(F.array_join(c, ""))).otherwise(F.array_distinct(pairs))
-
-    # characters first: a place in a string is found by counting from its start, one in an array at once
-    return bind(F.filter(F.split(F.regexp_replace(normed, SPACE + "+", ""), ""), lambda c: c != ""), grams)
+    z = F.regexp_replace(normed, SPACE + "+", "")
+    pairs = lambda x: F.regexp_extract_all(x, F.lit("(?s)(..)"), F.lit(1))
+    # every second pair, from the first character and from the second
+    return F.when(F.length(z) < 2, F.array(z)).otherwise(F.array_distinct(F.concat(pairs(z), pairs(F.substring(z, 2, 1 << 30)))))
 
 
 def strip_spoken(query: Column) -> Column:
@@ -165,3 +161,11 @@ def strip_boilerplate(description: Column, owner: Column, repo: Column) -> Colum
 def trigger_list(name: Column, topics: Column, limit: int = 8) -> Column:
     parts = F.filter(F.split(F.lower(name), "-"), lambda w: F.length(w) > 2)
     return F.slice(F.array_distinct(F.concat(F.array(F.lower(name)), parts, topics)), 1, limit)
+
+
+def repository_url(url: Column) -> Column:
+    """struct of owner, repo, branch, subpath and id base of a repository URL, with /tree/ or /blob/, branch and path or not; null if it is none."""
+    pattern = r"github\.com/([^/\s]+)/([^/\s#?]+?)(?:\.git)?(?:/(?:tree|blob)/([^/\s]+)(?:/([^\s#?]*?))?)?/?$"
+    part = lambda k: F.nullif(F.regexp_extract(url, pattern, k), F.lit(""))
+    base = F.coalesce(F.element_at(F.split(part(4), "/"), -1), part(2))
+    return F.when(F.rlike(url, F.lit(pattern)), F.struct(part(1).alias("owner"), part(2).alias("repo"), part(3).alias("branch"), part(4).alias("subpath"), base.alias("base")))

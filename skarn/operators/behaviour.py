@@ -22,10 +22,11 @@ def unmet(log: DataFrame, least: int = 3, key: str = "query") -> DataFrame:
 def success_rate(log: DataFrame, within_s: int = 30) -> DataFrame:
     """Per query: searches, and those with a click on the same query in [ts, ts + within_s].
 
-    The next click after each search decides, found by one sort for each query: no search meets all clicks.
+    The next click after each search decides. Rows of a query are read from the last to the first, so the click seen last is
+    the next one, and each row costs the same.
     """
-    after = Window.partitionBy("query").orderBy("ts", F.when(F.col("type") == "click", 1).otherwise(0)).rowsBetween(0, Window.unboundedFollowing)
-    x = log.filter(F.col("type").isin("search", "click")).withColumn("next_click", F.min(F.when(F.col("type") == "click", F.col("ts"))).over(after)).filter("type = 'search'")
+    after = Window.partitionBy("query").orderBy(F.desc("ts"), F.when(F.col("type") == "click", 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    x = log.filter(F.col("type").isin("search", "click")).withColumn("next_click", F.last(F.when(F.col("type") == "click", F.col("ts")), ignorenulls=True).over(after)).filter("type = 'search'")
     ok = F.coalesce(F.col("next_click") <= F.col("ts") + F.make_dt_interval(secs=F.lit(within_s)), F.lit(False))
     return x.groupBy("query").agg(F.count(F.lit(1)).alias("searches"), F.count_if(ok).alias("successes")).withColumn("rate", F.col("successes") / F.col("searches"))
 

@@ -90,6 +90,32 @@ def balance(categories: DataFrame) -> DataFrame:
     return n.withColumn("bucket", bucket).orderBy(F.desc("n"), "category")
 
 
+def enriched(tools: DataFrame, answers: DataFrame) -> DataFrame:
+    """tools with the fields of an enrichment answer (id and any of description, useCase, advantages, negativeConstraints, triggers).
+
+    A text counts if it is not empty, a list if it has an item, triggers if there are two. What is complete then is active.
+    """
+    fits = {
+        "description": lambda c: c != "", "useCase": lambda c: c != "", "advantages": lambda c: F.size(c) > 0, "negativeConstraints": lambda c: F.size(c) > 0, "triggers": lambda c: F.size(c) >= 2,
+    }
+    given = [c for c in fits if c in answers.columns]
+    x = tools.join(answers.select("id", *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("new_answer")), "id", "left")
+    for c in given:
+        new = F.col(f"new_{c}")
+        x = x.withColumn(c, F.when(F.coalesce(fits[c](new), F.lit(False)), new).otherwise(F.col(c)))
+    done = F.coalesce(F.col("new_answer"), F.lit(False)) & complete(x) & F.coalesce((F.col("description") != "") & ~F.contains("description", F.lit(PLACEHOLDER)), F.lit(False))
+    return x.withColumn("status", F.when(done, "active").otherwise(F.col("status"))).select(*tools.columns)
+
+
+def taxonomy_issues(tools: DataFrame) -> DataFrame:
+    """id, severity, rule: a missing id, name, url or category is an error, missing triggers a warning."""
+    none = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    rules = [("error", "no_id", none("id")), ("error", "no_name", none("name")), ("error", "no_url", none("url"))]
+    rules += [("error", "no_category", F.coalesce(F.size(F.filter("category", lambda c: F.trim(c) != "")) == 0, F.lit(True))), ("warning", "no_triggers", F.coalesce(F.size("triggers") == 0, F.lit(True)))]
+    found = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(s).alias("severity"), F.lit(r).alias("rule"))) for s, r, hit in rules]))
+    return tools.select("id", F.explode(found).alias("x")).select("id", "x.severity", "x.rule")
+
+
 def duplicate_attributes(pages: DataFrame, attribute: str = "id") -> DataFrame:
     """page_id, value, n of attribute values that occur more than once in a page's html."""
     found = F.regexp_extract_all("html", F.lit(f'{attribute}="([^"]+)"'), F.lit(1))

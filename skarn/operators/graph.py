@@ -28,16 +28,25 @@ def nodes_and_edges(tools: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def describe(tools: DataFrame) -> DataFrame:
-    """category, n, first use cases, languages, first five names, in catalog order."""
-    t = tools.filter(F.coalesce(F.col("category") != "", F.lit(False)))
-    w = Window.partitionBy("category").orderBy("ord")
-    ranked = t.withColumn("r", F.row_number().over(w)).withColumn("u", F.sum(F.when(F.col("use_case") != "", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.groupBy("category").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.concat_ws("；", F.array_sort(F.collect_list(F.when((F.col("u") <= 2) & (F.col("use_case") != ""), F.struct("ord", "use_case"))))["use_case"]).alias("use_cases"),
-        F.array_sort(F.collect_set("language")).alias("languages"),
-        F.array_sort(F.collect_list(F.when(F.col("r") <= 5, F.struct("r", "name"))))["name"].alias("top"),
-    )
+    """category, n, first use cases, languages, first five names, in catalog order.
+
+    First ones are found in each of many parts of a category, then among these, so a large category is not one task's.
+    """
+    t = tools.filter(F.coalesce(F.col("category") != "", F.lit(False))).withColumn("part", F.pmod(F.xxhash64("ord", "name"), F.lit(32)))
+
+    def firsts(rows: DataFrame, value: str, k: int) -> DataFrame:
+        """category, the first k values by ord as an array of structs."""
+        w = Window.partitionBy("category", "part").orderBy("ord")
+        few = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+        return few.groupBy("category").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", value))), 1, k)[value].alias("firsts"))
+
+    some = t.filter("use_case <> ''")
+    return (
+        t.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("language")).alias("languages"))
+        .join(firsts(some, "use_case", 2).withColumnRenamed("firsts", "u"), "category", "left")
+        .join(firsts(t, "name", 5).withColumnRenamed("firsts", "top"), "category")
+        .select("category", "n", F.concat_ws("；", F.coalesce("u", F.array().cast("array<string>"))).alias("use_cases"), "languages", "top")
+    )
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,9 @@ def asked(queries: DataFrame) -> DataFrame:
 def _with_queries(tools: DataFrame, queries: DataFrame) -> DataFrame:
     """Every tool beside every query: the stated query set against all rows."""
     small = queries.limit(MANY + 1).count() <= MANY
-    return tools.crossJoin(F.broadcast(queries) if small else queries)
+    if not small:
+        raise ValueError(f"this tier takes up to {MANY} queries at a time: give the rest in further calls")
+    return tools.crossJoin(F.broadcast(queries))
 
 
 def exact(tools: DataFrame, queries: DataFrame) -> DataFrame:
@@ -104,11 +106,57 @@ def inverse_frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return terms, idf, n
 
 
+def lengths(terms: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, dn): the length of each document's vector."""
+    return terms.join(idf.select("token", "idf"), "token").groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("dn"))
+
+
+class Index:
+    """The third tier kept as tables, so that searches read them in place of tokenising the corpus again.
+
+    postings (token, id) lie in `buckets` files by token, so a query reads the buckets of its tokens only; idf (token, df, idf) and
+    norms (id, ord, dn, grams) beside them.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path
+        self.idf, self.norms = spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/norms")
+        self.buckets = self.norms.select("buckets").first()[0] if not self.norms.isEmpty() else 1
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, buckets: int = 64) -> Index:
+        """docs: id, ord, text."""
+        spark = docs.sparkSession
+        terms, idf, _ = inverse_frequencies(docs)
+        terms.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        kept = spark.read.parquet(f"{path}/postings") if buckets and not docs.isEmpty() else terms
+        idf.write.mode("overwrite").parquet(f"{path}/idf")
+        norms = docs.select("id", "ord", bigrams(norm(F.col("text"))).alias("grams")).join(lengths(kept.select("id", "token"), spark.read.parquet(f"{path}/idf")), "id", "left")
+        norms.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/norms")
+        return cls(spark, path)
+
+    def semantic(self, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """As the function semantic; queries: qid, nq, toks."""
+        q = queries.select("qid", F.explode("toks").alias("token")).join(self.idf, "token", "left").select("qid", "token", F.coalesce("idf", F.lit(1.0)).alias("qw"))
+        wanted = [r[0] for r in q.select(F.pmod(F.xxhash64("token"), F.lit(self.buckets))).distinct().collect()]  # of a stated set of queries: at most `buckets`
+        qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+        postings = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(wanted))
+        dot = postings.join(q, "token").groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("qw")).alias("dot"))
+        grams = queries.select("qid", bigrams(F.col("nq")).alias("g"))
+        one = grams.select(F.explode("g").alias("gram"), "qid", F.size("g").alias("nqg"))
+        d = self.norms.crossJoin(F.broadcast(one.agg(F.collect_set("gram").alias("asked"))))
+        d = d.select("id", F.size("grams").alias("nd"), F.explode(F.array_intersect("grams", "asked")).alias("gram"))
+        dc = d.join(one, "gram").groupBy("qid", "id", "nd", "nqg").agg(F.count(F.lit(1)).alias("both")).select("qid", "id", (2.0 * F.col("both") / (F.col("nd") + F.col("nqg"))).alias("dice"))
+        hits = dot.join(dc, ["qid", "id"], "full").join(self.norms.select("id", "ord", "dn"), "id").join(F.broadcast(qn), "qid")
+        cos = F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0))
+        hits = hits.withColumn("cos", cos).withColumn("dice", F.coalesce("dice", F.lit(0.0))).withColumn("c", 0.6 * F.col("cos") + 0.4 * F.col("dice"))
+        return hits.filter(F.col("c") >= threshold).select("qid", "id", "ord", round_to(F.col("c"), 2).alias("score"), F.lit("L3-semantic").alias("level"), "cos", "dice")
+
+
 def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, cosine of binary TF-IDF vectors. queries: qid, toks (expanded or not)."""
     terms, idf, _ = inverse_frequencies(docs)
-    weighted = terms.join(idf, "token")
-    length = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("dn"))
+    length = lengths(terms, idf)
     q = queries.select("qid", F.explode("toks").alias("token")).join(idf, "token", "left").select("qid", "token", F.coalesce("idf", F.lit(1.0)).alias("qw"))
     qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dot = terms.join(q, "token").groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("qw")).alias("dot"))
@@ -116,9 +164,15 @@ def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def dice(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """qid, id, overlap of distinct character bigrams. queries: qid, nq."""
-    d = docs.select("id", bigrams(norm(F.col("text"))).alias("grams")).select("id", F.size("grams").alias("nd"), F.explode("grams").alias("gram"))
+    """qid, id, overlap of distinct character bigrams. queries: qid, nq.
+
+    Documents keep only bigrams that some query has; queries are a stated set, so these are one broadcast row. What is left
+    meets the queries by bigram.
+    """
     q = queries.select("qid", bigrams(F.col("nq")).alias("grams")).select("qid", F.size("grams").alias("nqg"), F.explode("grams").alias("gram"))
+    asked_for = F.broadcast(q.agg(F.collect_set("gram").alias("asked")))
+    d = docs.select("id", bigrams(norm(F.col("text"))).alias("grams")).crossJoin(asked_for)
+    d = d.select("id", F.size("grams").alias("nd"), F.explode(F.array_intersect("grams", "asked")).alias("gram"))
     both = d.join(q, "gram").groupBy("qid", "id", "nd", "nqg").agg(F.count(F.lit(1)).alias("both"))
     return both.select("qid", "id", (2.0 * F.col("both") / (F.col("nd") + F.col("nqg"))).alias("dice"))
 
@@ -201,6 +255,15 @@ def search(tools: DataFrame, queries: DataFrame, k: int = 5, category: str | Non
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score", "level")
 
 
+def compare(tools: DataFrame, queries: DataFrame, k: int = 5, **how) -> DataFrame:
+    """The best k tools of each query side by side: rank, what they are, and what the query was understood to ask for."""
+    hits = search(tools, queries, k, **how)
+    c = asked(queries).select("qid", context(F.col("nq")).alias("asked_for"))
+    t = tools.select("id", "name", "category", "url", "language", "stars", F.coalesce("useCase", "description").alias("fits"), "advantages", "negativeConstraints")
+    x = hits.join(t, "id").join(F.broadcast(c), "qid")  # a stated set of queries
+    return x.select("qid", "rank", "id", "name", F.floor(F.col("score") * 100 + 0.5).cast("int").alias("percent"), "url", "language", "stars", "fits", "advantages", "negativeConstraints", "asked_for")
+
+
 def unfiltered(tools: DataFrame, queries: DataFrame, synonyms: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The third tier alone, over the whole catalog."""
     return semantic(tool_text(tools), asked(queries), synonyms, threshold)

@@ -37,3 +37,10 @@ def conversations_as_chats(turns: DataFrame) -> DataFrame:
     """One line for each conversation, its turns as messages in order."""
     rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     return rows.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.to_json(F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("line"))
+
+
+def materialized(traces: DataFrame, path: str, hours: float = 1.0) -> DataFrame:
+    """stats as a table at path with generated_at, built again where it is missing or older."""
+    from skarn.sources.files import fresh
+
+    return fresh(traces.sparkSession, path, lambda: stats(traces), hours)

@@ -14,7 +14,11 @@ def latest_of_all(snaps: DataFrame) -> DataFrame:
 
 
 def of_week(snaps: DataFrame, week: str) -> DataFrame:
-    return snaps.filter(F.col("week") == week).select("full_name", "stars")
+    """full_name, stars of a week; where a series has several snapshots of it (snap_idx), of the first."""
+    x = snaps.filter(F.col("week") == week)
+    if "snap_idx" in snaps.columns:
+        x = x.join(F.broadcast(x.agg(F.min("snap_idx").alias("snap_idx"))), "snap_idx")  # one row
+    return x.select("full_name", "stars")
 
 
 def dense(snaps: DataFrame) -> DataFrame:
@@ -65,9 +69,26 @@ def upsert(snaps: DataFrame, live: DataFrame, week: str) -> DataFrame:
     return history.select("week", "full_name", "stars").unionByName(over.select(F.lit(week).alias("week"), "full_name", F.coalesce("new", "old").alias("stars")))
 
 
-def tracked(registry: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Pool: registry repositories (full_name, added_at), and snapshot ones above the floor that are not among them."""
-    first = snaps.filter(F.col("stars") >= FLOOR).groupBy("full_name").agg(F.min_by("stars", "week").alias("stars"))
+def trackable(snaps: DataFrame) -> DataFrame:
+    """Snapshot rows whose name has exactly two parts and whose count reaches the floor."""
+    parts = F.split("full_name", "/")
+    return snaps.filter((F.size(parts) == 2) & (F.col("stars") >= FLOOR))
+
+
+def flagged(ranked: DataFrame, registry: DataFrame, added: DataFrame) -> DataFrame:
+    """ranked (url, ...) with in_registry (its url is known, whatever the case) and was_added (exactly this url was added)."""
+    known = registry.select(F.lower("url").alias("known_url")).distinct()
+    new = added.select(F.col("url").alias("added_url")).distinct()
+    x = ranked.join(known, F.lower("url") == F.col("known_url"), "left").join(new, F.col("url") == F.col("added_url"), "left")
+    return x.withColumn("in_registry", F.col("known_url").isNotNull()).withColumn("was_added", F.col("added_url").isNotNull()).drop("known_url", "added_url")
+
+
+def tracked(registry: DataFrame, snaps: DataFrame, two_parts: bool = False) -> DataFrame:
+    """Pool: registry repositories (full_name, added_at), and snapshot ones above the floor that are not among them.
+
+    two_parts: only names of the form owner/repository.
+    """
+    first = (trackable(snaps) if two_parts else snaps.filter(F.col("stars") >= FLOOR)).groupBy("full_name").agg(F.min_by("stars", "week").alias("stars"))
     extra = first.join(registry.select("full_name"), "full_name", "left_anti")
     return registry.select("full_name", F.lit(None).cast("long").alias("stars"), F.lit(True).alias("in_registry")).unionByName(extra.select("full_name", "stars", F.lit(False).alias("in_registry")))
 
@@ -80,7 +101,10 @@ def first_seen(live: DataFrame) -> DataFrame:
 
 
 def ingest(ranked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rows that a leaderboard adds to the catalog: growing, url unknown; a taken id gets the owner's first 8 letters."""
+    """Rows that a leaderboard adds to the catalog: growing, url unknown; a taken id gets the owner's first 8 letters.
+
+    An id that the catalog has even so is left out; rows of one leaderboard with the same bare id and owner get the same id.
+    """
     x = ranked.filter("delta > 0").join(catalog.select(F.lower("url").alias("u")), F.lower("url") == F.col("u"), "left_anti")
     turn = F.row_number().over(Window.partitionBy("bare").orderBy("rank"))
     x = x.withColumn("turn", turn).join(catalog.select(F.col("id").alias("bare"), F.lit(True).alias("taken")).distinct(), "bare", "left")

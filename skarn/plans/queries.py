@@ -159,18 +159,34 @@ def query_context(spark, d):
     return c.select("item_id", "c.language", F.concat_ws(",", "c.scenarios").alias("scenarios"), F.concat_ws(",", "c.features").alias("features"))
 
 
-@query()
+_FP = "concat_ws('|', id, name, status, cat, language, description, array_to_string(triggers, ','), coalesce(use_case, ''))"
+
+
+@query(f"""WITH {Q.TOOLS}, c AS (SELECT count(*) AS n, string_agg({_FP}, '' ORDER BY ord) AS t FROM tools), f AS (SELECT n, list_reduce(list_concat([CAST(2166136261 AS BIGINT)], list_transform(string_split(t, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) % 4294967296) AS h FROM c),
+    d AS (SELECT n, list_reverse(list_transform(range(0, 7), lambda i: '0123456789abcdefghijklmnopqrstuvwxyz'[CAST((h // CAST(pow(36, i) AS BIGINT)) % 36 + 1 AS INTEGER)])) AS digits FROM f)
+    SELECT n AS tools, n || ':' || ltrim(array_to_string(digits, ''), '0') AS fingerprint FROM d""")
 def fingerprint_fnv1a(spark, d):
     return S.fingerprint(A.catalog(spark, d))
 
 
-@query()
+#: task_id, step, action, and what is searched for: the verb that opens an action goes.
+_STEPS = [(1, 1, "抓取 red widget", "red widget"), (1, 2, "small ring", "small ring"), (1, 3, "blue bolt", "blue bolt"), (2, 1, "steel nut", "steel nut"), (3, 1, "解析 economy brand ", "economy brand"), (3, 2, "promo", "promo")]
+_BARE = "greatest(0.01, " + Q.round_to("post + CASE WHEN stars > 1000 THEN least(0.05 * log10(stars), 0.20) ELSE 0 END", 2) + ")"
+
+
+def _planned(steps):
+    return " UNION ALL ".join(
+        f"SELECT CAST({t} AS BIGINT) AS task_id, CAST({i} AS INTEGER) AS step, '{a}' AS action, max(CASE WHEN rank = 1 THEN id END) AS tool, coalesce(string_agg(CASE WHEN rank > 1 THEN id END, ',' ORDER BY rank), '') AS alternatives FROM ({Q.best(q, 3, _BARE)})" for t, i, a, q in steps
+    )
+
+
+@query(f"SELECT *, '{classify.DEFAULT_FORMAT[0]}' AS input_format, '{classify.DEFAULT_FORMAT[1]}' AS output_format FROM ({_planned(_STEPS)})")
 def plan_steps(spark, d):
     tasks = spark.createDataFrame([(1, "抓取 red widget 然後 small ring，blue bolt"), (2, "steel nut"), (3, "解析 economy brand 並轉成 promo")], "task_id long, task string")
     return planner.steps(A.catalog(spark, d), tasks).withColumn("alternatives", F.concat_ws(",", "alternatives"))
 
 
-@query()
+@query(f"SELECT task_id, count(*) AS n_steps, string_agg(coalesce(tool, '?'), ' -> ' ORDER BY step) AS pipeline FROM ({_planned(_STEPS[:4])}) GROUP BY task_id")
 def plan_pipeline(spark, d):
     tasks = spark.createDataFrame([(1, "抓取 red widget 然後 small ring，blue bolt"), (2, "steel nut")], "task_id long, task string")
     return planner.pipeline(planner.steps(A.catalog(spark, d), tasks))
@@ -213,12 +229,22 @@ def synonym_mine(spark, d):
     return synonyms.mine(_zh_tools(spark))
 
 
-@query()
-def seed_union(spark, d):
-    return synonyms.mine(_zh_tools(spark), synonyms.seed_links(spark), synonyms.alias_table(spark))
+_SEEDS = ", ".join(f"('{t}', '{s}')" for t, ss in synonyms.SEEDS.items() for s in ss)
 
 
-_SEEDS = ", ".join(f"('{t}', '{s}')" for t, ss in synonyms.SEEDS.items() for s in ss)
+_ALIASES = ", ".join(f"('{a}', '{t}')" for a, t in synonyms.ALIASES.items())
+
+
+@query(f"""WITH {_ZH}, s(term, synonym) AS (VALUES {_SEEDS}), al(alias, target) AS (VALUES {_ALIASES}),
+    l AS (SELECT zh AS term, en AS synonym FROM p UNION SELECT en, zh FROM p), g AS (SELECT term FROM l GROUP BY term HAVING count(*) BETWEEN 2 AND 8),
+    w AS (SELECT * FROM l UNION SELECT a.synonym, b.synonym FROM l a JOIN l b ON a.term = b.term AND a.synonym <> b.synonym WHERE a.term IN (SELECT term FROM g)),
+    e AS (SELECT term, synonym, min(prio) AS prio FROM (SELECT *, 0 AS prio FROM w UNION ALL SELECT *, 1 FROM s) GROUP BY ALL),
+    b AS (SELECT alias, synonym AS m FROM e JOIN al ON term = target UNION SELECT alias, target FROM al WHERE target IN (SELECT term FROM e)),
+    u AS (SELECT term, synonym FROM e UNION SELECT alias, m FROM b UNION SELECT m, alias FROM b),
+    r AS (SELECT u.term, u.synonym, row_number() OVER (PARTITION BY u.term ORDER BY coalesce(prio, 2), u.synonym) AS pos FROM u LEFT JOIN e ON u.term = e.term AND u.synonym = e.synonym)
+    SELECT term, synonym, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= {synonyms.KEPT}""")
+def seed_union(spark, d):
+    return synonyms.mine(_zh_tools(spark), synonyms.seed_links(spark), synonyms.alias_table(spark))
 
 
 @query(f"""WITH s(term, synonym) AS (VALUES {_SEEDS}), q AS (SELECT unnest(['rag', 'sql', 'widget']) AS token) SELECT token FROM q UNION SELECT synonym FROM q JOIN s ON token = term""")
@@ -412,19 +438,19 @@ def last_week_enriched(spark, d):
     return trending.of_week(s, cur).join(k, "full_name", "left").select("full_name", "stars", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query()
+@query(f"""WITH wtd AS ({ORACLE_SQL['week_to_date']}) SELECT rank, printf('| %d | %s | %d | +%d |', rank, full_name, stars, delta) AS line FROM wtd WHERE rank <= 10""")
 def report_lines(spark, d):
-    return trending.report_lines(weekly_leaderboard(spark, d))
+    return trending.report_lines(week_to_date(spark, d))
 
 
-_ING = """i AS (SELECT c_custkey AS rank, 'tool-' || (c_custkey % 7) AS bare, 'https://x/' || c_custkey AS url, lower(c_mktsegment) AS owner, CAST(c_acctbal AS BIGINT) AS delta FROM customer WHERE c_custkey < 20),
-    c AS (SELECT 'tool-' || n_nationkey AS id, 'https://x/' || n_nationkey AS url FROM nation WHERE n_nationkey < 4)"""
+_ING = """i AS (SELECT c_custkey AS rank, 'tool-' || (c_custkey % 7) AS bare, 'https://x/' || c_custkey AS url, lower(c_mktsegment) AS owner, CAST(round(c_acctbal) AS BIGINT) AS delta FROM customer),
+    c AS (SELECT 'tool-' || n_nationkey AS id, 'https://x/' || n_nationkey AS url FROM nation)"""
 
 
 @query(f"""WITH {_ING}, x AS (SELECT *, row_number() OVER (PARTITION BY bare ORDER BY rank) AS turn FROM i WHERE delta > 0 AND url NOT IN (SELECT url FROM c)),
     y AS (SELECT rank, CASE WHEN turn = 1 AND bare NOT IN (SELECT id FROM c) THEN bare ELSE bare || '-' || substr(owner, 1, 8) END AS id, url, delta FROM x) SELECT * FROM y WHERE id NOT IN (SELECT id FROM c)""")
 def ingest_candidates(spark, d):
-    c = A.table(spark, d, "customer").filter("c_custkey < 20")
+    c = A.table(spark, d, "customer")
     r = c.select(F.col("c_custkey").alias("rank"), F.concat(F.lit("tool-"), (F.col("c_custkey") % 7).cast("string")).alias("bare"), F.concat(F.lit("https://x/"), F.col("c_custkey").cast("string")).alias("url"), F.lower("c_mktsegment").alias("owner"), F.round("c_acctbal").cast("long").alias("delta"))
-    n = A.table(spark, d, "nation").filter("n_nationkey < 4").select(F.concat(F.lit("tool-"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string")).alias("url"))
+    n = A.table(spark, d, "nation").select(F.concat(F.lit("tool-"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("https://x/"), F.col("n_nationkey").cast("string")).alias("url"))
     return trending.ingest(r, n)

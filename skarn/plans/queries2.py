@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
-from skarn.operators import catalog, classify, contract, graph, jobs, reports
+from skarn.functions import calendar
+from skarn.operators import catalog, classify, contract, graph, jobs, reports, telemetry, trending
 from skarn.plans import sql as Q
-from skarn.plans.queries import query
+from skarn.plans.queries import ORACLE_SQL, query, week_to_date
 from skarn.sources import adapters as A
 from skarn.sources import connectors
 
@@ -57,9 +58,10 @@ def taxonomy_balance(spark, d):
     return contract.balance(A.table(spark, d, "documents").select(F.col("source").alias("category")))
 
 
-@query("WITH v AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS value FROM pages) SELECT page_id, value, count(*) AS n FROM v GROUP BY ALL HAVING count(*) > 1")
+@query("WITH v AS (SELECT page_id, unnest(regexp_extract_all(replace(html, 'href=', 'id='), 'id=\"([^\"]+)\"', 1)) AS value FROM pages) SELECT page_id, value, count(*) AS n FROM v GROUP BY ALL HAVING count(*) > 1")
 def dup_html_ids(spark, d):
-    return contract.duplicate_attributes(A.table(spark, d, "pages"), "href")
+    p = A.table(spark, d, "pages")  # the pages have links and few ids, so links stand for ids
+    return contract.duplicate_attributes(p.withColumn("html", F.replace("html", F.lit("href="), F.lit("id="))))
 
 
 @query("SELECT doc_id, CAST(length(text) - length(replace(text, '�', '')) AS BIGINT) AS n FROM documents")
@@ -105,7 +107,7 @@ def _edge(words):
     return f"len({hit}) > 0"
 
 
-_GUESS = _case([(_edge(classify.words_of(ws)), c) for c, ws in classify.PRECISE + classify.GENERAL] + [(" OR ".join(f"contains(t, '{w}')" for w in ws.split()), c) for c, ws in classify.ANYWHERE], classify.DEFAULT)
+_GUESS = _case([(_edge(ws), c) for c, ws in classify.PRECISE + classify.GENERAL] + [(" OR ".join(f"contains(t, '{w}')" for w in ws), c) for c, ws in classify.ANYWHERE], classify.DEFAULT)
 _TEXTS = "x AS (SELECT 'p' || p_partkey AS id, lower(p_name || ' ' || p_type) AS t FROM part UNION ALL SELECT 'k' || i, lower(s) FROM (SELECT unnest([" + ", ".join(f"'{k}'" for k in _KW) + "]) AS s, unnest(range(" + str(len(_KW)) + ")) AS i))"
 
 
@@ -125,10 +127,10 @@ def keyword_boundary(spark, d):
     return _texts(spark, d).select("id", F.exists(words, lambda w: X.word_at_first(F.lower("t"), w)).alias("hit"))
 
 
-@query(f"WITH {_TEXTS} SELECT old, new, count(*) AS n FROM (SELECT t AS old, {_GUESS} AS new FROM x WHERE id LIKE 'k%') WHERE old IS DISTINCT FROM new GROUP BY ALL")
+@query(f"WITH {_TEXTS} SELECT old, new, count(*) AS n FROM (SELECT t AS old, {_GUESS} AS new FROM x) WHERE old IS DISTINCT FROM new GROUP BY ALL")
 def category_diff(spark, d):
-    x = _texts(spark, d).filter(F.startswith("id", F.lit("k")))
-    return catalog.category_changes(x.select(F.col("t").alias("old"), classify.guessed_category(F.col("t")).alias("new")))
+    x = _texts(spark, d)
+    return catalog.category_changes(x.select(F.lower("t").alias("old"), classify.guessed_category(F.col("t")).alias("new")))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'pip' WHEN 1 THEN 'npm' WHEN 2 THEN 'composer' WHEN 3 THEN 'cargo' WHEN 4 THEN 'git-clone' ELSE 'none' END AS method,
@@ -206,16 +208,21 @@ def shell_quote(spark, d):
     return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.shell_quote(name).alias("quoted"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'a tool'), (2, 'First plain text'), (3, ''), (4, 'after front')) t(k, description)""")
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a ' || source || ' tool' WHEN 1 THEN 'First plain ' || lang WHEN 2 THEN '' ELSE 'after ' || source END AS description FROM documents""")
 def markdown_description(spark, d):
-    rows = [(1, "---\nname: x\ndescription: 'a tool'\n---\n# T"), (2, "# Title\n\n![img](x)\n\nFirst plain\ntext\n\nmore"), (3, "# only"), (4, "---\nname: x\n---\nafter front\n\nx")]
-    return spark.createDataFrame(rows, "k int, c string").select("k", X.markdown_description(F.col("c")).alias("description"))
+    k, t = F.col("doc_id") % 4, A.table(spark, d, "documents")
+    front = F.concat(F.lit("---\nname: x\ndescription: 'a "), "source", F.lit(" tool'\n---\n# T\n\n"), "text")
+    plain = F.concat(F.lit("# Title\n\n![img](x)\n\nFirst plain\n"), "lang", F.lit("\n\n"), "text")
+    c = F.when(k == 0, front).when(k == 1, plain).when(k == 2, F.lit("# only")).otherwise(F.concat(F.lit("---\nname: x\n---\nafter "), "source", F.lit("\n\n"), "text"))
+    return t.select("doc_id", X.markdown_description(c).alias("description"))
 
 
-@query("""SELECT * FROM (VALUES (1, 'Fast. More'), (2, 'plain'), (3, 'Contribute to a/b now')) t(k, description)""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Fast ' || source || '. More' WHEN 1 THEN 'plain ' || source ELSE 'Contribute to a/b ' || source END AS description FROM documents""")
 def boilerplate_strip(spark, d):
-    rows = [(1, "Fast.Contribute to A/B development by creating an account on GitHub. More"), (2, "plain"), (3, "Contribute to a/b now")]
-    return spark.createDataFrame(rows, "k int, c string").select("k", X.strip_boilerplate(F.col("c"), F.lit("a"), F.lit("b")).alias("description"))
+    k = F.col("doc_id") % 3
+    said = F.when(k == 0, F.concat(F.lit("Fast "), "source", F.lit(".Contribute to A/B development by creating an account on GitHub. More")))
+    said = said.when(k == 1, F.concat(F.lit("plain "), "source")).otherwise(F.concat(F.lit("Contribute to a/b "), "source"))
+    return A.table(spark, d, "documents").select("doc_id", X.strip_boilerplate(said, F.lit("a"), F.lit("b")).alias("description"))
 
 
 @query("SELECT p_partkey AS id, array_to_string(list_distinct(list_concat([replace(p_name, ' ', '-')], list_filter(string_split(p_name, ' '), lambda w: length(w) > 2), [lower(p_type)])), ',') IS NOT NULL AS ok, CAST(len(list_distinct(list_concat([replace(p_name, ' ', '-')], list_filter(string_split(p_name, ' '), lambda w: length(w) > 2), [lower(p_type)]))) AS INTEGER) AS n FROM part")
@@ -271,11 +278,11 @@ def pool_merge(spark, d):
     return catalog.merge_pool(old, new)
 
 
-@query("""WITH a AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey < 5), b AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 30)
-    SELECT CAST(id AS VARCHAR) AS id, coalesce(b.name, a.name) AS name FROM a FULL JOIN b USING (id) ORDER BY CAST(id AS VARCHAR) LIMIT 20""")
+@query("""WITH a AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), b AS (SELECT c_custkey AS id, c_name AS name FROM customer)
+    SELECT CAST(id AS VARCHAR) AS id, coalesce(CASE WHEN (SELECT count(*) FROM a) < 10 THEN b.name END, a.name) AS name FROM a FULL JOIN b USING (id) WHERE a.name IS NOT NULL OR (SELECT count(*) FROM a) < 10 ORDER BY CAST(id AS VARCHAR) LIMIT 20""")
 def skill_union(spark, d):
-    a = A.table(spark, d, "supplier").filter("s_suppkey < 5").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
-    b = A.table(spark, d, "customer").filter("c_custkey < 30").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
+    a = A.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
+    b = A.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
     return catalog.union_skills(a, b, 20)
 
 
@@ -344,7 +351,7 @@ def graph_find(spark, d):
 
 @query("""WITH t AS (SELECT n_name AS category, c_custkey AS ord, c_name AS name, c_mktsegment AS language, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS use_case FROM customer JOIN nation ON c_nationkey = n_nationkey),
     r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ord) AS r, CASE WHEN use_case IS NOT NULL THEN row_number() OVER (PARTITION BY category, use_case IS NULL ORDER BY ord) END AS u FROM t)
-    SELECT category, count(*) AS n, string_agg(CASE WHEN u <= 2 THEN use_case END, '；' ORDER BY ord) AS use_cases, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages, string_agg(CASE WHEN r <= 5 THEN name END, ',' ORDER BY ord) AS top FROM r GROUP BY category""")
+    SELECT category, count(*) AS n, coalesce(string_agg(CASE WHEN u <= 2 THEN use_case END, '；' ORDER BY ord), '') AS use_cases, array_to_string(list_sort(list_distinct(list(language))), ',') AS languages, string_agg(CASE WHEN r <= 5 THEN name END, ',' ORDER BY ord) AS top FROM r GROUP BY category""")
 def graph_categories(spark, d):
     g = graph.describe(_graph_tools(spark, d))
     return g.select("category", "n", "use_cases", F.concat_ws(",", "languages").alias("languages"), F.concat_ws(",", "top").alias("top"))
@@ -458,15 +465,124 @@ def leaderboard_fields(spark, d):
     return spark.createDataFrame(rows, "k int, doc string").select("k", f["week"].alias("week"), F.get(f["items"], F.lit(0))["fullName"].alias("first"))
 
 
-@query()
-def leaderboard_view(spark, d):
-    from skarn.plans.queries import weekly_leaderboard
+_WTD = f"WITH wtd AS ({ORACLE_SQL['week_to_date']})"
+
 
-    return reports.leaderboard_view(weekly_leaderboard(spark, d))
+@query(f"""{_WTD} SELECT rank, CASE rank WHEN 1 THEN '🥇' WHEN 2 THEN '🥈' WHEN 3 THEN '🥉' ELSE CAST(rank AS VARCHAR) END AS mark, full_name,
+    CASE WHEN delta > 0 THEN '+' || format('{{:,}}', delta) ELSE format('{{:,}}', stars) || ' (待比對)' END AS change FROM wtd WHERE rank <= 10""")
+def leaderboard_view(spark, d):
+    return reports.leaderboard_view(week_to_date(spark, d))
 
 
-@query()
+@query(f"""{_WTD} SELECT '# 2001-W30' || chr(10) || chr(10) || '- tracked: 25' || chr(10) || '- live: 25' || chr(10) || chr(10) || '| rank | repository | stars | delta |' || chr(10) || '|---|---|---|---|' || chr(10)
+    || coalesce(string_agg(printf('| %d | %s | %d | +%d |', rank, full_name, stars, delta), chr(10) ORDER BY rank), '') AS text FROM wtd WHERE rank <= 10""")
 def weekly_report(spark, d):
-    from skarn.plans.queries import weekly_leaderboard
+    return reports.weekly_report(week_to_date(spark, d), "2001-W30", 25, 25)
+
+
+@query(f"""{_WTD}, k AS (SELECT DISTINCT 'https://x/' || lower(n_name) AS url FROM nation WHERE n_nationkey % 2 = 0), a AS (SELECT DISTINCT 'https://x/' || n_name AS url FROM nation WHERE n_nationkey % 3 = 0),
+    r AS (SELECT rank, 'https://x/' || full_name AS url FROM wtd) SELECT rank, url, lower(url) IN (SELECT url FROM k) AS in_registry, url IN (SELECT url FROM a) AS was_added FROM r""")
+def leaderboard_flags(spark, d):
+    n = A.table(spark, d, "nation")
+    url = lambda name: F.concat(F.lit("https://x/"), name).alias("url")
+    ranked = week_to_date(spark, d).select("rank", url(F.col("full_name")))
+    known, added = n.filter("n_nationkey % 2 = 0").select(url(F.lower("n_name"))), n.filter("n_nationkey % 3 = 0").select(url(F.col("n_name")))
+    return trending.flagged(ranked, known, added)
+
+
+@query(r"""SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS stamp FROM events""")
+def utc_stamp(spark, d):
+    return A.table(spark, d, "events").select("event_id", calendar.stamp(F.col("ts")).alias("stamp"))
+
+
+_URL = "'https://github.com/' || replace(lower(p_brand), '#', '-') || '/' || replace(p_name, ' ', '-')"
+
+
+@query(f"""SELECT p_partkey AS k, replace(lower(p_brand), '#', '-') AS owner, replace(p_name, ' ', '-') AS repo, CASE WHEN p_partkey % 3 > 0 THEN 'main' END AS branch,
+    CASE WHEN p_partkey % 3 = 2 THEN 'skills/' || lower(p_type) END AS subpath, CASE WHEN p_partkey % 3 = 2 THEN lower(p_type) ELSE replace(p_name, ' ', '-') END AS base FROM part""")
+def repository_url_parts(spark, d):
+    k, t = F.col("p_partkey") % 3, A.table(spark, d, "part")
+    base = F.concat(F.lit("https://github.com/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    url = F.when(k == 0, F.concat(base, F.lit(".git"))).when(k == 1, F.concat(base, F.lit("/tree/main"))).otherwise(F.concat(base, F.lit("/blob/main/skills/"), F.lower("p_type")))
+    return t.select(F.col("p_partkey").alias("k"), X.repository_url(url).alias("u")).select("k", "u.*")
+
+
+@query(f"""WITH {Q.SNAPS}, n AS (SELECT CASE WHEN full_name < 'NATION_2' THEN full_name ELSE 'o/' || full_name END AS full_name, stars, week FROM snaps)
+    SELECT full_name, min_by(stars, week) AS stars, false AS in_registry FROM n WHERE stars >= 50 AND full_name LIKE 'o/%' GROUP BY full_name""")
+def tracked_two_parts(spark, d):
+    name = F.when(F.col("full_name") < "NATION_2", F.col("full_name")).otherwise(F.concat(F.lit("o/"), "full_name"))
+    nothing = spark.createDataFrame([], "full_name string")
+    return trending.tracked(nothing, A.snapshots(spark, d).withColumn("full_name", name), two_parts=True)
+
+
+@query(f"""WITH {Q.TOOLS} SELECT id, CASE WHEN ord % 2 = 0 THEN 'said ' || name ELSE description END AS description, CASE WHEN ord % 2 = 0 THEN ['new one', 'new two'] ELSE triggers END AS triggers,
+    CASE WHEN ord % 2 = 0 AND ord % 4 = 0 THEN ['a'] ELSE advantages END AS advantages,
+    CASE WHEN ord % 2 = 0 AND use_case IS NOT NULL AND len(negs) > 0 AND (ord % 4 = 0 OR len(advantages) > 0) THEN 'active' ELSE status END AS status FROM tools""")
+def enrichment_merge(spark, d):
+    t = A.catalog(spark, d)
+    some = F.when(F.col("ord") % 4 == 0, F.array(F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    answers = t.filter("ord % 2 = 0").select("id", F.concat(F.lit("said "), "name").alias("description"), F.lit("").alias("useCase"), F.array(F.lit("new one"), F.lit("new two")).alias("triggers"), some.alias("advantages"))
+    return contract.enriched(t, answers).select("id", "description", "triggers", "advantages", "status")
+
+
+@query(f"""WITH {Q.TOOLS} SELECT id, 'error' AS severity, 'no_name' AS rule FROM tools WHERE ord % 9 = 0 UNION ALL SELECT id, 'error', 'no_url' FROM tools WHERE ord % 10 = 0
+    UNION ALL SELECT id, 'error', 'no_category' FROM tools WHERE ord % 11 = 0 UNION ALL SELECT id, 'warning', 'no_triggers' FROM tools WHERE ord % 13 = 0""")
+def taxonomy_issues(spark, d):
+    o = F.col("ord")
+    t = A.catalog(spark, d).withColumn("name", F.when(o % 9 > 0, F.col("name"))).withColumn("url", F.when(o % 10 > 0, F.col("url")).otherwise(" "))
+    t = t.withColumn("category", F.when(o % 11 > 0, F.col("category")).otherwise(F.array(F.lit("")))).withColumn("triggers", F.when(o % 13 > 0, F.col("triggers")))
+    return contract.taxonomy_issues(t)
+
+
+@query("SELECT count(*) FILTER (page_id % 5 > 0 AND page_id % 7 > 0) AS healthy, count(*) FILTER (page_id % 5 = 0 OR page_id % 7 = 0) AS failed FROM pages")
+def health_counts(spark, d):
+    k = F.col("page_id")
+    return connectors.health(A.table(spark, d, "pages").select("url", F.when(k % 5 == 0, 404).when(k % 7 > 0, 200 + k % 200).alias("status")))
+
+
+@query(f"WITH {Q.TOOLS}, p AS (SELECT lower(url) AS u, max(stars + 7) AS s FROM tools WHERE ord % 2 = 0 GROUP BY 1) SELECT id, coalesce(s, stars) AS stars FROM tools LEFT JOIN p ON lower(url) = u")
+def synced_stars(spark, d):
+    t = A.catalog(spark, d)
+    return connectors.synced_stars(t, t.filter("ord % 2 = 0").select(F.upper("url").alias("url"), (F.col("stars") + 7).alias("stars"))).select("id", "stars")
+
+
+@query("SELECT DISTINCT n_name || '/r@' || CASE WHEN s_suppkey % 3 = 0 THEN 'r' ELSE 's' || s_suppkey % 50 END AS id, n_name || '/r' AS source FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def skill_rows(spark, d):
+    s = A.table(spark, d, "supplier").join(F.broadcast(A.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    k = F.col("s_suppkey")
+    path = F.when(k % 3 == 0, "SKILL.md").otherwise(F.concat(F.lit("skills/s"), (k % 50).cast("string"), F.lit("/SKILL.md")))
+    return connectors.skills_from_code_search(s.select(F.concat("n_name", F.lit("/r")).alias("full_name"), path.alias("path"))).select("id", "source")
+
+
+@query(f"WITH {Q.TRACES}, {Q.STATS} SELECT tool_id, total, success, fail, success_rate FROM stats")
+def materialized_summary(spark, d):
+    """The telemetry summary as a table with an age, built where there is none; read back."""
+    return telemetry.materialized(A.traces(spark, d), f"{_scratch(spark)}/summary-{abs(hash(d))}").drop("generated_at")
+
+
+@query(f"WITH {Q.TRACES}, {Q.STATS} SELECT tool_id, total, success, fail FROM stats")
+def trace_stream_parity(spark, d):
+    """The running statistics of the trace log read as a stream, to its end."""
+    from skarn.streaming.streams import drained, running_stats
+
+    e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
+    n = A.table(spark, d, "part").count()
+    stream = e.select(F.concat(F.lit("part-"), (F.col("event_id") % n).cast("string")).alias("tool_id"), (F.col("event_type") != "error").alias("success"))
+    return drained(running_stats(stream), f"{_scratch(spark)}/stream")
+
+
+def _scratch(spark):
+    """A folder that driver and executors share: beside the warehouse, or that of spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/skarn-{spark.sparkContext.applicationId}"
+
+
+_CTX_NONE = "greatest(0.01, " + Q.round_to("post + CASE WHEN stars > 1000 THEN least(0.05 * log10(stars), 0.20) ELSE 0 END", 2) + ")"
+
+
+@query("SELECT rank, id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, name, url, stars, coalesce(use_case, description) AS fits FROM (" + Q.best("steel widget zinc", 5, _CTX_NONE) + ") b JOIN (WITH " + Q.TOOLS + " SELECT * FROM tools) t USING (id)")
+def compare_tools(spark, d):
+    from skarn.operators import search
+    from skarn.plans.queries import one
 
-    return reports.weekly_report(weekly_leaderboard(spark, d), "2001-W30", 25, 25)
+    return search.compare(A.catalog(spark, d), one(spark, "steel widget zinc")).select("rank", "id", "percent", "name", "url", "stars", "fits")

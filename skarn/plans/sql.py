@@ -96,3 +96,14 @@ def semantic(docs: str) -> str:
 TOOL_TEXT = """texts AS (
     SELECT id, ord, substr(name || ' ' || name || ' ' || name || ' ' || array_to_string(triggers, ' ') || ' ' || array_to_string(triggers, ' ') || ' ' || description || ' ' || cat || ' ' || cat || ' ' ||
         replace(array_to_string(capabilities, ' '), '-', ' ') || coalesce(' ' || use_case, '') || ' ' || array_to_string(advantages, ' ') || CASE WHEN has_sub THEN ' ' || p_name || ' ' || p_type ELSE '' END, 1, 3000) AS text FROM live)"""
+
+
+def best(text: str, k: int, rerank: str) -> str:
+    """rank, id, score of the best k live tools for a query without telemetry; rerank: the final score from post and stars."""
+    return f"""WITH {TOOLS}, {LIVE}, {query_row(text)}, {keyword()}, {TOOL_TEXT}, {semantic('texts')},
+        e AS (SELECT id, ord, 1.0 AS score, 1.0 AS post, 0 AS tier, 1.0 AS pre FROM live WHERE {norm('name')} = (SELECT nq FROM q) ORDER BY ord LIMIT {k}),
+        m AS (SELECT id, ord, score AS post, score AS pre, 0 AS tier FROM l2 UNION ALL
+              SELECT id, ord, {round_to(round_to('c', 2) + ' * 0.5', 2)}, {round_to('c', 2)}, 1 FROM l3 WHERE id NOT IN (SELECT id FROM l2)),
+        r AS (SELECT m.id, m.ord, {rerank} AS score, post, tier, pre FROM m JOIN live USING (id) WHERE NOT EXISTS (SELECT 1 FROM e)),
+        o AS (SELECT *, row_number() OVER (ORDER BY score DESC, post DESC, tier, pre DESC, ord) AS rank FROM (SELECT * FROM e UNION ALL SELECT * FROM r))
+        SELECT CAST(rank AS INTEGER) AS rank, id, score FROM o WHERE rank <= {k}"""

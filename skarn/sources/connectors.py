@@ -1,19 +1,17 @@
-"""Remote sources as tables: a data source for live repositories, and what connectors make of listings.
+"""Remote sources as tables: live repositories, and what connectors make of listings.
 
-No network is used here. The data source reads saved result files, one for each query; a connector that calls a service would
+No network is used here. The reader takes saved result files, one for each query; a connector that calls a service would
 produce the same rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import types as T
 
 from skarn.functions.text import slug
+from skarn.sources.files import exists
 
 LIVE = "full_name string, name string, owner string, stars bigint, fork boolean, created_at string, pushed_at string, topics array<string>, language string, description string, html_url string, query_idx int, item_idx int"
 # Signs of a folder that holds tools, repositories never split, branches in order of trial.
@@ -23,42 +21,45 @@ BRANCHES = ["main", "master", "dev"]
 MOST_FOLDERS = 10
 
 
-class LiveRepositories(DataSource):
-    """format("live_repositories").option("paths", "a.json,b.json"): each file holds the items one query found."""
+ITEM = "full_name string, name string, owner struct<login:string>, stargazers_count bigint, fork boolean, created_at string, pushed_at string, topics array<string>, language string, description string, html_url string"
 
-    @classmethod
-    def name(cls) -> str:
-        return "live_repositories"
 
-    def schema(self) -> str:
-        return LIVE
+def live_repositories(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """LIVE rows of saved result files, one for each query, in the order of paths; any file system that Spark reads.
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", "").split(",") if p])
+    A file that is missing or no document is a query that failed: it found nothing.
+    """
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], LIVE)
+    fields = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in T._parse_datatype_string(ITEM))
+    docs = spark.read.schema(f"items array<struct<{fields}>>").option("multiLine", True).json(there).select(F.posexplode("items").alias("item_idx", "x"), F.col("_metadata.file_path").alias("file"))
+    order = spark.createDataFrame([(i, p.rsplit("/", 1)[-1], p) for i, p in enumerate(paths)], "query_idx int, file_name string, path string")
+    rows = docs.join(F.broadcast(order), F.endswith("file", F.concat(F.lit("/"), "file_name")) & F.endswith(F.url_decode("file"), "path"))
+    return rows.select(
+        "x.full_name", "x.name", F.col("x.owner.login").alias("owner"), F.col("x.stargazers_count").alias("stars"), F.coalesce("x.fork", F.lit(False)).alias("fork"), "x.created_at", "x.pushed_at",
+        F.coalesce("x.topics", F.array().cast("array<string>")).alias("topics"), "x.language", "x.description", "x.html_url", "query_idx", "item_idx",
+    )
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def skills_from_code_search(found: DataFrame) -> DataFrame:
+    """Skill rows (id owner/repo@name, name, source, installs 0) from code-search items (full_name, path): the folder names the skill; each once."""
+    folder = F.element_at(F.split(F.regexp_replace("path", "/?[^/]*$", ""), "/"), -1)
+    name = F.coalesce(F.nullif(folder, F.lit("")), F.element_at(F.split("full_name", "/"), -1))
+    x = found.select(F.concat("full_name", F.lit("@"), name).alias("id"), name.alias("name"), F.col("full_name").alias("source"), F.lit(0).cast("long").alias("installs"))
+    return x.dropDuplicates(["id"])
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition((i, p)) for i, p in enumerate(self.paths)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        query, path = partition.value
-        try:
-            with open(path, encoding="utf-8") as f:
-                items = json.load(f).get("items", [])
-        except (OSError, ValueError):
-            return  # a query that failed found nothing
-        for i, x in enumerate(items):
-            owner = (x.get("owner") or {}).get("login")
-            yield (x.get("full_name"), x.get("name"), owner, x.get("stargazers_count"), bool(x.get("fork")), x.get("created_at"), x.get("pushed_at"), x.get("topics") or [], x.get("language"), x.get("description"), x.get("html_url"), query, i)
+def health(answers: DataFrame) -> DataFrame:
+    """One row: healthy, failed; answers (url, status): a status from 200 to 399 is healthy, none is a failure."""
+    ok = F.coalesce(F.col("status").between(200, 399), F.lit(False))
+    return answers.agg(F.count_if(ok).alias("healthy"), F.count_if(~ok).alias("failed"))
 
 
-def live_repositories(spark: SparkSession, paths: list[str]) -> DataFrame:
-    spark.dataSource.register(LiveRepositories)
-    return spark.read.format("live_repositories").option("paths", ",".join(paths)).load()
+def synced_stars(tools: DataFrame, polled: DataFrame) -> DataFrame:
+    """tools with the polled stars (url, stars) where there are any; the others keep theirs."""
+    p = polled.groupBy(F.lower("url").alias("polled_url")).agg(F.max("stars").alias("polled_stars"))
+    return tools.join(p, F.lower("url") == F.col("polled_url"), "left").withColumn("stars", F.coalesce("polled_stars", "stars")).drop("polled_url", "polled_stars")
 
 
 def monorepo_parts(listing: DataFrame) -> DataFrame:

@@ -71,6 +71,30 @@ def flat_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,bigint>")).alias("full_name", "stars"))
 
 
+def save_flat_snapshot(repos: DataFrame, path: str) -> None:
+    """full_name, stars as one flat map of counts, written anew; a snapshot is one document."""
+    repos.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("full_name", "stars")))).alias("m")).select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+
+
+def append_behaviour(rows: DataFrame, path: str) -> None:
+    """Search, click and abandon events (columns of BEHAVIOUR, those given) as lines of a log."""
+    known = [c.split()[0] for c in BEHAVIOUR.split(", ")]
+    rows.select(*[c for c in known if c in rows.columns]).write.mode("append").json(path)
+
+
+def save_synonyms(links: DataFrame, path: str) -> None:
+    """term, synonym, pos as source text of a map, a line for each term in order."""
+    line = F.concat(F.lit("  "), F.to_json(F.array("term")).substr(F.lit(2), F.length(F.to_json(F.array("term"))) - 2), F.lit(": "), F.to_json(F.array_sort(F.collect_list(F.struct("pos", "synonym")))["synonym"]), F.lit(","))
+    links.groupBy("term").agg(line.alias("value")).orderBy("term").select("value").write.mode("overwrite").text(path)
+
+
+def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Nodes and edges as the one document that a page embeds: {"nodes": [...], "edges": [...]}."""
+    n = nodes.agg(F.array_sort(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
+    e = edges.agg(F.array_sort(F.collect_list(F.struct(*edges.columns))).alias("edges"))
+    n.crossJoin(F.broadcast(e)).write.mode("overwrite").json(path)
+
+
 def behaviour(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, BEHAVIOUR, mode="DROPMALFORMED")
 

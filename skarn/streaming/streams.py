@@ -12,6 +12,19 @@ def running_stats(traces: DataFrame) -> DataFrame:
     return traces.groupBy("tool_id").agg(F.count(F.lit(1)).alias("total"), ok.alias("success"), (F.count(F.lit(1)) - ok).alias("fail"))
 
 
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """What a stream's aggregate says once all input there is has been read; its progress and result lie below `folder`."""
+    import uuid
+
+    at = f"{folder}/{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/result")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/result")
+
+
 def weekly(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts in ISO weeks (Monday, UTC): append output gives closed weeks, update output also the running one."""
     w = F.window("ts", "7 days", "7 days", "4 days")

@@ -84,3 +84,43 @@ def test_live_repositories(spark, tmp_path):
     (tmp_path / "c.json").write_text("{broken")
     live = live_repositories(spark, [str(tmp_path / f"{x}.json") for x in "abcx"])
     assert sorted((r["full_name"], r["stars"]) for r in first_seen(live).collect()) == [("a/b", 5), ("c/d", 2)]
+
+
+def test_writers(spark, tmp_path):
+    repos = spark.createDataFrame([("a/b", 5), ("c/d", 7)], "full_name string, stars long")
+    files.save_flat_snapshot(repos, str(tmp_path / "snap"))
+    assert sorted(map(tuple, files.flat_snapshot(spark, str(tmp_path / "snap")).collect())) == [("a/b", 5), ("c/d", 7)]
+    events = spark.createDataFrame([(1, "search", "q"), (2, "click", "q")], "timestamp long, type string, query string")
+    files.append_behaviour(events, str(tmp_path / "log"))
+    files.append_behaviour(events, str(tmp_path / "log"))
+    assert files.behaviour(spark, str(tmp_path / "log")).count() == 4
+    links = spark.createDataFrame([("sql", "db", 2), ("sql", "資料庫", 1), ('q"x', "y", 1)], "term string, synonym string, pos int")
+    files.save_synonyms(links, str(tmp_path / "syn"))
+    said = "".join(r["value"] for r in spark.read.text(str(tmp_path / "syn")).collect())
+    assert json.loads("{" + said.rstrip(",") + "}") == {"sql": ["資料庫", "db"], 'q"x': ["y"]}
+    files.save_graph(spark.createDataFrame([("root",)], "id string"), spark.createDataFrame([("root", "x")], "source string, target string"), str(tmp_path / "g"))
+    (doc,) = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "g")).collect()]
+    assert doc == {"nodes": [{"id": "root"}], "edges": [{"source": "root", "target": "x"}]}
+
+
+def test_snapshot_of_week(spark, tmp_path):
+    from skarn.operators import trending
+
+    p = tmp_path / "s.json"
+    p.write_text(json.dumps({"snapshots": [{"week": "2026-W01", "repos": {"a/b": 1}}, {"week": "2026-W01", "repos": {"a/b": 9, "c/d": 2}}]}))
+    s = files.snapshots(spark, str(p))
+    assert [tuple(r) for r in trending.of_week(s, "2026-W01").collect()] == [("a/b", 1)]  # the first one of the week
+    (tmp_path / "bad.json").write_text("{not json")
+    assert files.snapshots(spark, str(tmp_path / "bad.json")).count() == 0
+    assert files.registry(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_windows_and_bursts(spark):
+    """The streaming forms on tables: ISO weeks, bursts, ages."""
+    t = lambda s: F.to_timestamp(F.lit(s))
+    e = spark.createDataFrame([(0, "a"), (1, "ab"), (5, "abc")], "s int, query string").select(F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), F.lit("u").alias("user"), "query")
+    assert sorted((r["query"], r["n"]) for r in streams.debounced(e, "2 seconds").collect()) == [("ab", 2), ("abc", 1)]
+    days = spark.createDataFrame([("2026-08-02",), ("2026-08-03",), ("2026-08-09",)], "d string").select(F.to_timestamp("d").alias("ts"))
+    assert sorted((str(r["week_start"])[:10], r["n"]) for r in streams.weekly(days).collect()) == [("2026-07-27", 1), ("2026-08-03", 2)]
+    old = spark.createDataFrame([(1,), (2,)], "k int").select("k", F.when(F.col("k") == 1, t("2026-01-01 00:00:00")).otherwise(t("2026-01-01 00:10:00")).alias("timestamp"))
+    assert [r["k"] for r in streams.unexpired(old, "2026-01-01 00:10:30", 60).collect()] == [2]

@@ -130,3 +130,47 @@ def test_telemetry(spark):
 def test_segments(spark):
     assert value(spark, planner.segments(F.col("t")), t="抓取動態網頁內容並轉成簡報") == ["抓取動態網頁內容", "簡報"]
     assert value(spark, planner.segments(F.col("t")), t="，") == ["，"]
+
+
+def test_success_rate_in_proportion(spark):
+    """One query with many rows: four times the rows take about four times as long, not sixteen."""
+    import time
+
+    from skarn.operators import behaviour
+
+    def took(n):
+        log = spark.range(n).select(F.when(F.col("id") % 3 == 0, "click").otherwise("search").alias("type"), F.lit("q").alias("query"), F.timestamp_seconds(F.col("id") * 20).alias("ts"), F.col("id").alias("seq"))
+        start = time.perf_counter()
+        r = behaviour.success_rate(log, 30).first()
+        return time.perf_counter() - start, r
+
+    took(1000)
+    small, big = took(50_000), took(200_000)
+    assert big[0] < 10 * small[0] + 2
+    # of two searches in a row only the second has the next click within 30 s
+    assert abs(big[1]["rate"] - 0.5) < 0.01
+
+
+def test_search_index(spark, tmp_path):
+    """The kept index scores as the tier itself does."""
+    from skarn.operators import search as S
+
+    texts = ["red widget for python", "blue widget", "green bolt and red bolt", "簡報 工具", "", None]
+    docs = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "id string, ord int, text string")
+    q = S.asked(spark.createDataFrame([("0", "red widget"), ("1", "blue bolt unknown")], "qid string, query string"))
+    want = sorted((r["qid"], r["id"], r["score"], round(r["cos"], 9)) for r in S.semantic(docs, q).collect())
+    index = S.Index.build(docs, str(tmp_path / "index"), buckets=4)
+    got = sorted((r["qid"], r["id"], r["score"], round(r["cos"], 9)) for r in index.semantic(q).collect())
+    assert got == want and len(got) > 3
+
+
+def test_plain_prefilter(spark):
+    """The literal look before a category's pattern never hides a match."""
+    from skarn.functions.text import any_word
+    from skarn.operators import classify
+
+    words = sorted({w.replace(r"\\.?", "-").replace("\\.", ".").replace(".", "x") for rule, _ in classify.REPOSITORY_RULES for w in rule.split("|")})
+    texts = [f"a {w} b" for w in words] + [w.replace("-", "") for w in words] + ["data-analy", "autogpt", "language model", "cicd", "nothing"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for rule, _ in classify.REPOSITORY_RULES:
+        assert df.filter(any_word(F.lower("t"), rule) & ~classify._may_match(F.lower("t"), rule)).count() == 0
