@@ -35,16 +35,23 @@ def tokens(normed: Column) -> Column:
 
     Sub-keywords have no separator in them, so one lies in a token if it lies in the text.
     """
-    words = F.array_compact(F.array(*[F.when(F.contains(normed, F.lit(k)), k) for k in SUB_KEYWORDS]))
-    return F.array_union(F.array_remove(F.split(normed, SEPARATORS), ""), words)
+
+    def found(t: Column) -> Column:
+        words = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(k)), k) for k in SUB_KEYWORDS]))
+        return F.array_union(F.array_remove(F.split(t, SEPARATORS), ""), words)
+
+    return bind(normed, found)
 
 
 def bigrams(normed: Column) -> Column:
     """Distinct pairs of neighbouring characters, white space left out; a shorter text is its own."""
-    z = F.regexp_replace(normed, SPACE + "+", "")
-    pairs = lambda x: F.regexp_extract_all(x, F.lit("(?s)(..)"), F.lit(1))
-    # every second pair, from the first character and from the second
-    return F.when(F.length(z) < 2, F.array(z)).otherwise(F.array_distinct(F.concat(pairs(z), pairs(F.substring(z, 2, 1 << 30)))))
+
+    def grams(z: Column) -> Column:
+        pairs = lambda x: F.regexp_extract_all(x, F.lit("(?s)(..)"), F.lit(1))
+        # every second pair, from the first character and from the second
+        return F.when(F.length(z) < 2, F.array(z)).otherwise(F.array_distinct(F.concat(pairs(z), pairs(F.substring(z, 2, 1 << 30)))))
+
+    return bind(F.regexp_replace(normed, SPACE + "+", ""), grams)
 
 
 def strip_spoken(query: Column) -> Column:
