@@ -1,14 +1,14 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has one bit for the sign of each component. Codes are stored in blocks of about `block` distinct
-codes; a block cuts them into segments and keeps an inverted table for each. A query looks up, in every segment, all
-values within radius 0, then 1, and so on, and verifies the codes found. After radius r in m segments every code within
-distance m * (r + 1) - 1 has been seen, so it stops once its k-th verified distance is no larger. The blocks' best
-k merge into the whole best k.
+A vector's code has one bit for the sign of each component. Codes are cut into m segments of about log2(number of codes)
+bits, and one index lists the codes by segment and value there, spread over the cluster by these. A query looks up, in every
+segment, all values within radius 0, then 1, and so on, and verifies the codes found. After radius r every code
+within distance m * (r + 1) - 1 has been seen, so a query stops once its k-th verified distance is no larger. Each radius is
+one join of the probes of the queries still open with the index; what a query has found so far is its k best rows.
 
-Equal codes are kept as one, with their k smallest ids: more can't be in a best k, as ties go to the smaller id.
-Queries travel in packed blocks too, and every pair of a query block and a code block is one task, so no task
-holds all queries or all codes of a hot value.
+A radius that has more probes than there are codes is not worth a lookup: the queries still open then, a stated set, meet
+all codes in packed blocks. Equal codes are kept as one, with their k smallest ids: more can't be in a best k, as ties go to the
+smaller id.
 
 Defined results: a vector that is null, or has a null, NaN or no component, has no code, is not found and finds nothing;
 a zero counts as not negative; vectors of different lengths never meet; a query finds itself unless it is left out
@@ -17,6 +17,7 @@ a zero counts as not negative; vectors of different lengths never meet; a query
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -25,74 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.llm.common import by_key, cut, runs
-
-
-class SegmentIndex:
-    """Inverted tables over the segments of a block's codes (rows of 64-bit words)."""
-
-    def __init__(self, codes: np.ndarray, bits: int):
-        n = max(len(codes), 2)
-        self.codes, self.bits = codes, bits
-        width = min(max(int(np.log2(n)), 4), 16, bits)
-        self.m = -(-bits // width)
-        edges = [round(i * bits / self.m) for i in range(self.m + 1)]
-        self.segments = list(zip(edges, edges[1:], strict=False))
-        self.tables = []
-        for s, e in self.segments:
-            value = self.value(codes, s, e)
-            order = np.argsort(value, kind="stable")
-            begin = np.searchsorted(value[order], np.arange((1 << (e - s)) + 1))
-            self.tables.append((order, begin))
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
-
-    @staticmethod
-    def value(codes: np.ndarray, s: int, e: int) -> np.ndarray:
-        """Bits s..e of each code."""
-        word, low = divmod(s, 64)
-        out = codes[:, word] >> np.uint64(low)
-        if low + e - s > 64:
-            out = out | codes[:, word + 1] << np.uint64(64 - low)
-        return (out & np.uint64((1 << (e - s)) - 1)).astype(np.int64)
-
-    def at_radius(self, width: int, r: int) -> np.ndarray:
-        """All flips of r of `width` bits."""
-        if (width, r) not in self.masks:
-            self.masks[width, r] = np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], np.int64)
-        return self.masks[width, r]
-
-    def search(self, query: np.ndarray, k: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (their numbers and distances) that hold the k nearest rows, counts[i] rows having code i."""
-        seen = np.zeros(len(self.codes), bool)
-        far = np.full(len(self.codes), self.bits + 1, np.int32)
-        values = [int(self.value(query[None], s, e)[0]) for s, e in self.segments]
-        longest = max(e - s for s, e in self.segments)
-        for r in range(longest + 1):
-            found = []
-            for (s, e), v, (order, begin) in zip(self.segments, values, self.tables, strict=True):
-                if r <= e - s:
-                    probe = v ^ self.at_radius(e - s, r)
-                    a, b = begin[probe], begin[probe + 1]
-                    full = b > a
-                    a, n = a[full], (b - a)[full]
-                    if len(n):
-                        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                        found.append(order[np.repeat(a, n) + step])
-            if found:
-                new = np.unique(np.concatenate(found))
-                new = new[~seen[new]]
-                seen[new] = True
-                far[new] = np.bitwise_count(self.codes[new] ^ query).sum(1)
-            got = np.flatnonzero(seen)
-            order = got[np.argsort(far[got], kind="stable")]
-            rows = np.cumsum(counts[order])
-            if len(rows) and rows[-1] >= k:
-                kth = far[order[np.searchsorted(rows, k)]]
-                if kth <= self.m * (r + 1) - 1:
-                    near = got[far[got] <= kth]
-                    return near, far[near]
-        got = np.flatnonzero(seen)
-        return got, far[got]
+from skarn.llm.common import by_key, cut, drop, mix64, runs
+
+
+def segments(bits: int, n: int) -> list[tuple[int, int]]:
+    """Cuts a code of `bits` bits into segments for n codes."""
+    width = min(max(int(math.log2(max(n, 2))), 4), 24, bits)
+    m = -(-bits // width)
+    edges = [round(i * bits / m) for i in range(m + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def value_of(codes: np.ndarray, s: int, e: int) -> np.ndarray:
+    """Bits s..e of each code (rows of 64-bit words)."""
+    word, low = divmod(s, 64)
+    out = codes[:, word] >> np.uint64(low)
+    if low + e - s > 64:
+        out = out | codes[:, word + 1] << np.uint64(64 - low)
+    return (out & np.uint64((1 << (e - s)) - 1)).astype(np.int64)
+
+
+def flips(width: int, r: int) -> np.ndarray:
+    """All masks of r of `width` bits."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), r)], np.int64)
+
+
+def _place(bits: int, segment: int, value: np.ndarray) -> np.ndarray:
+    """One number for a segment and its value."""
+    return mix64(value.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((bits << 8) + segment)).view(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: bool = True, block: int = 8192, query_block: int = 512) -> DataFrame:
@@ -120,42 +81,116 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
     few = Window.partitionBy("code", "bits", "part").orderBy("id")
     few = ranked.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= spare)
     codes = cut(few.groupBy("code", "bits").agg(F.slice(F.sort_array(F.collect_list("id")), 1, spare).alias("ids")))
-    asked = cut(coded(queries))
-    n_codes, n_asked = codes.count(), asked.count()
-    blocks, asks = max(1, -(-n_codes // block)), max(1, -(-n_asked // query_block))
+    # rows that repeat ask once, and their answers go to each of them
+    asked = cut(coded(queries).groupBy("id", "code", "bits").agg(F.count(F.lit(1)).alias("times")).withColumn("q", F.xxhash64("id", "code", "bits")))
+    sizes = {r["bits"]: r["n"] for r in codes.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vectors
+
+    def words(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each code length: the rows that have it and their codes."""
+        bits, raw = b.column("bits").to_numpy(zero_copy_only=False), b.column("code").to_pylist()
+        for size in np.unique(bits).tolist():
+            at = np.flatnonzero(bits == size)
+            yield size, at, np.frombuffer(b"".join(raw[i] for i in at.tolist()), np.uint64).reshape(len(at), -1)
+
+    def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for size, at, c in words(b):
+                for i, (s, e) in enumerate(segments(size, sizes[size])):
+                    yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, value_of(c, s, e))), b.column("code").take(pa.array(at)), b.column("bits").take(pa.array(at)), b.column("ids").take(pa.array(at))], names=["place", "code", "bits", "ids"])
+
+    index = cut(codes.mapInArrow(post, "place long, code binary, bits int, ids array<long>"))
+
+    def probe(r: int):
+        def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for size, at, c in words(b):
+                    for i, (s, e) in enumerate(segments(size, sizes.get(size, 1))):
+                        if r <= e - s:
+                            mask = flips(e - s, r)
+                            step = max(1, 200_000 // len(mask))
+                            for j in range(0, len(at), step):
+                                some = pa.array(np.repeat(at[j : j + step], len(mask)))
+                                values = (value_of(c[j : j + step], s, e)[:, None] ^ mask).reshape(-1)
+                                yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, values)), *(b.column(n).take(some) for n in ("q", "id", "code", "bits"))], names=["place", "q", "id", "q_code", "q_bits"])
 
-    def pack(key: str, ids: bool):
+        return rows
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, c = b.column("q_code").to_pylist(), b.column("code").to_pylist()
+            size = np.array([len(x) // 8 for x in a], np.int64)
+            x = np.frombuffer(b"".join(a), np.uint64) ^ np.frombuffer(b"".join(c), np.uint64)
+            d = np.add.reduceat(np.bitwise_count(x).astype(np.int32), np.cumsum(size) - size) if len(size) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), b.column("code"), b.column("ids"), pa.array(d, pa.int32())], names=["q", "id", "code", "ids", "distance"])
+
+    def nearest(hits: DataFrame) -> DataFrame:
+        """Of each query the k codes whose first row comes first: no other code has a row among the k best."""
+        others = F.filter("ids", lambda i: i != F.col("id")) if leave_out_self else F.col("ids")
+        x = hits.withColumn("ids", others).filter(F.size("ids") > 0).dropDuplicates(["q", "code"])
+        w = Window.partitionBy("q").orderBy("distance", F.array_min("ids"))
+        return x.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "id", "code", "ids", "distance")
+
+    def rows_of(hits: DataFrame) -> DataFrame:
+        x = hits.select("q", "distance", F.explode("ids").alias("vec_id"))
+        return x.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).filter(F.col("rank") <= k)
+
+    still, done, seen, r = asked, [], None, 0
+    while True:
+        left = {x["bits"]: segments(x["bits"], sizes.get(x["bits"], 1)) for x in still.select("bits").distinct().collect()}
+        if not left:
+            break
+        if any(sum(math.comb(e - s, r) for s, e in segs) > sizes.get(b, 0) for b, segs in left.items()):
+            done.append(nearest(_meet_all(still, codes, k, block, query_block)))
+            break
+        probes = still.select("q", "id", "code", "bits").mapInArrow(probe(r), "place long, q long, id long, q_code binary, q_bits int")
+        met = probes.join(index, "place").filter("bits = q_bits").dropDuplicates(["q", "code"])
+        new = met.select("q", "id", "q_code", "code", "ids").mapInArrow(measured, "q long, id long, code binary, ids array<long>, distance int")
+        found = cut(nearest(new if seen is None else seen.unionByName(new)))
+        state = rows_of(found).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
+        m = F.create_map(*[F.lit(x) for b, segs in left.items() for x in (b, len(segs))])
+        covered = F.coalesce((F.col("n") >= k) & (F.col("kth") <= m[F.col("bits")] * (r + 1) - 1), F.lit(False))
+        checked = cut(still.join(state, "q", "left").withColumn("covered", covered))
+        done.append(cut(found.join(checked.filter("covered").select("q"), "q", "left_semi")))
+        still = checked.filter("not covered").select("id", "code", "bits", "times", "q")
+        seen, r = cut(found.join(still.select("q"), "q", "left_semi")), r + 1
+        drop(found)
+    hits = done[0] if done else codes.select(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("id"), "code", "ids", F.lit(0).alias("distance")).filter("false")
+    for d in done[1:]:
+        hits = hits.unionByName(d)
+    out = rows_of(hits).join(asked.select("q", F.col("id").alias("query_id"), "times"), "q").withColumn("copy", F.explode(F.expr("sequence(1, cast(times as int))")))
+    return out.select("query_id", "vec_id", "distance", F.col("rank").cast("int").alias("rank"))
+
+
+def _meet_all(queries: DataFrame, codes: DataFrame, k: int, block: int, query_block: int) -> DataFrame:
+    """q, id, code, ids, distance: of each block of codes the k nearest of each query. Both come packed, so no task holds all of either."""
+    blocks = max(1, -(-codes.count() // block))
+    asks = max(1, -(-queries.count() // query_block))
+
+    def pack(names: list[str]):
         def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for k_, t in runs(batches, key):
-                held = t.column("ids").to_pylist() if ids else [[i] for i in t.column("id").to_pylist()]
-                flat = np.array([i for h in held for i in h], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k_], pa.int64()), pa.array([b"".join(t.column("code").to_pylist())], pa.binary()), pa.array([np.array([len(h) for h in held], np.int32).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([t.column("bits")[0].as_py()], pa.int32())],
-                    names=["block", "codes", "counts", "ids", "bits"],
-                )
+            for key, t in runs(batches, "b"):
+                yield pa.RecordBatch.from_arrays([pa.array([key]), *(pa.array([t.column(n).to_pylist()], kind) for n, kind in zip(names, (pa.list_(pa.binary()), pa.list_(pa.int64()) if names[1] == "q" else pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64()))[: len(names)], strict=True))], names=["b", *names])
 
         return rows
 
-    schema = "block long, codes binary, counts binary, ids binary, bits int"
     spread = lambda n, by: (F.pmod(F.xxhash64(by), F.lit(n)) + F.col("bits").cast("long") * (1 << 40)).alias("b")
-    stored = by_key(codes.select(spread(blocks, "code"), "code", "bits", "ids"), "b", pack("b", True), schema)
-    sent = by_key(asked.select(spread(asks, "id"), "code", "bits", "id"), "b", pack("b", False), schema)
-    sent = sent.select(F.col("codes").alias("q_codes"), F.col("ids").alias("q_ids"), "bits", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at"))
-    sent = sent.withColumn("block", F.col("at").cast("long") + F.col("bits").cast("long") * (1 << 40)).drop("bits", "at")
+    stored = by_key(codes.select(spread(blocks, "code"), "code", "ids"), "b", pack(["code", "ids"]), "b long, code array<binary>, ids array<array<long>>")
+    sent = by_key(queries.select(spread(asks, "q"), "code", "q", "id"), "b", pack(["code", "q", "id"]), "b long, code array<binary>, q array<long>, id array<long>")
+    sent = sent.select(F.col("code").alias("q_code"), "q", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("at"), (F.col("b") - F.pmod("b", F.lit(1 << 40))).alias("base"))
+    sent = sent.select("q_code", "q", "id", (F.col("base") + F.col("at")).alias("b"))
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                words = -(-r["bits"] // 64)
-                counts, ids = np.frombuffer(r["counts"], np.int32), np.frombuffer(r["ids"], np.int64)
-                index, at = SegmentIndex(np.frombuffer(r["codes"], np.uint64).reshape(-1, words), r["bits"]), np.concatenate([[0], np.cumsum(counts)])
-                out: list[tuple[int, int, int]] = []
-                for q, code in zip(np.frombuffer(r["q_ids"], np.int64).tolist(), np.frombuffer(r["q_codes"], np.uint64).reshape(-1, words), strict=True):
-                    near, far = index.search(code, spare, counts)
-                    rows = sorted((int(d), int(i)) for c, d in zip(near, far, strict=True) for i in ids[at[c] : at[c + 1]].tolist() if not (leave_out_self and i == q))
-                    out += [(q, i, d) for d, i in rows[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, [pa.int64(), pa.int64(), pa.int32()], strict=True)], names=["query_id", "vec_id", "distance"])
-
-    found = sent.join(stored, "block").mapInArrow(search, "query_id long, vec_id long, distance int")
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+            for x in b.to_pylist():
+                words = len(x["code"][0]) // 8
+                every = np.frombuffer(b"".join(x["code"]), np.uint64).reshape(-1, words)
+                first = np.array([min(i) for i in x["ids"]])
+                out = []
+                for q, i, c in zip(x["q"], x["id"], x["q_code"], strict=True):
+                    d = np.bitwise_count(every ^ np.frombuffer(c, np.uint64)).sum(1)
+                    near = np.lexsort((first, d))[: k + 1]  # one of them may be the query's own
+                    out += [(q, i, x["code"][j], x["ids"][j], int(d[j])) for j in near.tolist()]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["q", "id", "code", "ids", "distance"])
+
+    return sent.join(stored, "b").mapInArrow(search, "q long, id long, code binary, ids array<long>, distance int")

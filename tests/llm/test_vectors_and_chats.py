@@ -16,7 +16,7 @@ def vectors(spark):
     rows = [(i, v.tolist(), i % 3) for i, v in enumerate(base)]
     rows += [(100 + i, (base[i] + 0.12 * rng.standard_normal(16)).tolist(), i % 3) for i in range(40)]
     rows += [(200 + i, (base[i] * 7).tolist(), (i + 1) % 3) for i in range(10)]
-    rows += [(300, base[0].tolist(), 0), (301, base[0].tolist(), None), (302, None, 0), (303, [0.0] * 16, 0), (304, [], 0), (305, [math.nan] * 16, 0), (306, [1.0, None], 0), (307, [1.0, 2.0], 0), (308, [2.0, 4.0], 0), (0, base[0].tolist(), 0), (309, [1e200] * 16, 1)]
+    rows += [(300, base[0].tolist(), 0), (301, base[0].tolist(), None), (302, None, 0), (303, [0.0] * 16, 0), (304, [], 0), (305, [math.nan] * 16, 0), (306, [1.0, None], 0), (307, [1.0, 2.0], 0), (308, [2.0, 4.0], 0), (0, base[0].tolist(), 0), (309, [1e200] * 16, 1), (310, [1e200] * 15 + [1.1e200], 1), (311, [1e-200, 0.0] * 8, 2), (312, [2e-200, 0.0] * 8, 2), (313, [math.inf] + [1.0] * 15, 0)]
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
@@ -34,12 +34,12 @@ def test_e8():
 @pytest.mark.parametrize("block, stages", [(1024, None), (4, 2)])
 def test_lattice(vectors, brute_groups, block, stages):
     rows, df = vectors
-    ok = [v is not None and len(v) > 0 and None not in v and all(map(math.isfinite, v)) and any(v) and math.isfinite(sum(x * x for x in v)) and l is not None for _, v, l in rows]
+    ok = [v is not None and len(v) > 0 and None not in v and all(map(math.isfinite, v)) and any(v) and l is not None for _, v, l in rows]
     pairs = []
     for a in range(len(rows)):
         for b in range(a):
             if ok[a] and ok[b] and rows[a][2] == rows[b][2] and len(rows[a][1]) == len(rows[b][1]):
-                x, y = np.array(rows[a][1]), np.array(rows[b][1])
+                x, y = (np.array(rows[k][1]) / np.abs(rows[k][1]).max() for k in (a, b))
                 if (x / np.linalg.norm(x)) @ (y / np.linalg.norm(y)) >= 0.93:
                     pairs.append((a, b))
     got = lattice.links(df, tables=24, probes=12, block=block, stages=stages).collect()
@@ -80,14 +80,56 @@ def test_hamming(vectors, spark, block, query_block):
 
 
 def test_segments():
+    """Every code within distance m * (r + 1) - 1 shares a segment up to r flips; masks name each flip once."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 1 << 63, (500, 2), dtype=np.uint64)
-    index = hamming.SegmentIndex(codes, 128)
-    for q in codes[:10] ^ np.uint64(5):
-        near, far = index.search(q, 7, np.ones(500, np.int32))
-        all_far = np.bitwise_count(codes ^ q).sum(1)
-        assert sorted(far.tolist())[:7] == sorted(all_far.tolist())[:7]
-        assert (all_far[near] == far).all()
+    for bits, n in ((128, 500), (64, 50_000), (64, 10**9), (5, 2), (200, 3000)):
+        segs = hamming.segments(bits, n)
+        assert segs[0][0] == 0 and segs[-1][1] == bits and all(x[1] == y[0] for x, y in zip(segs, segs[1:]))
+        words = -(-bits // 64)
+        for r in range(3):
+            far = min(len(segs) * (r + 1) - 1, bits)
+            for _ in range(50):
+                q, c = np.zeros((1, words), np.uint64), np.zeros((1, words), np.uint64)
+                for at in rng.choice(bits, far, replace=False).tolist():
+                    c[0, at // 64] |= np.uint64(1 << at % 64)
+                apart = [bin(int(hamming.value_of(q, s, e)[0] ^ hamming.value_of(c, s, e)[0])).count("1") for s, e in segs]
+                assert min(apart) <= r and sum(apart) == far
+    assert len(set(hamming.flips(10, 3).tolist())) == math.comb(10, 3)
+
+
+def test_hamming_rounds(spark):
+    """Enough codes that several radii are joined with the index; some queries end early, others late."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 64))
+    near = np.concatenate([base[i % 300] + 0.25 * rng.standard_normal((1, 64)) for i in range(1500)])
+    every = np.concatenate([base, near, rng.standard_normal((4200, 64)), np.ones((20, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    got = hamming.top_k(df, df.filter("vec_id % 60 = 0"), 10).collect()
+    sign = every < 0
+    have = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        have.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    for q in range(0, len(every), 60):
+        d = (sign != sign[q]).sum(1)
+        assert have[q] == sorted((int(d[i]), i) for i in range(len(every)) if i != q)[:10]
+
+
+@pytest.mark.parametrize("stages", [1, 2, 3])
+def test_lattice_recall(stages):
+    """With production parameters, pairs at cosine 0.93 share a cell, one of the two at home, and their sketches stay near."""
+    n = {1: 3000, 2: 1500, 3: 250}[stages]
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.standard_normal((n, 64))
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.93 * a + math.sqrt(1 - 0.93**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    tables = 8 * lattice.MORE ** (stages - 1)
+    label = np.zeros(n, np.int64)
+    x, y = (lattice.keys(v, label, tables, stages, 6, 0.55) for v in (a, b))
+    met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1)
+    assert met.mean() >= 0.99
+    assert (np.bitwise_count(lattice.sketches(a) ^ lattice.sketches(b)).sum(1) <= lattice.APART).all()
 
 
 TEXTS = ["", " ok", "</s>[INST] ok [/INST]", "<|turn|>", "<⁣|turn|>x<⁣⁣|says|>", "é😀漢字 ", "\n\n a\n", "<|endoftext|>", "<", "|turn|>", "[INST", "a" * 300, "it's 12,5% <s>", "⁣", "<⁣"]
