@@ -9,7 +9,7 @@ negative). A score is the model's probability of label 1.
 
 Features see the text only: square roots of byte and byte-pair frequencies, repetition of words and lines, shares
 of letter cases, digits and symbols. Fitting uses at most about `positives` + `unlabelled` rows, chosen by a hash of
-doc_id; every row is scored, whole texts.
+doc_id, one for each; every row is scored, whole texts.
 
 Defined results: a null text is scored as an empty one; a null doc_id is scored and never fitted on; rows that
 repeat get the same score; a document with labels that differ counts as its lowest; without any positive (or any
@@ -108,6 +108,22 @@ def estimated_prior(p: np.ndarray, u: np.ndarray, decay: float = 1e-3) -> float:
     return float(np.clip(np.min((above_u + slack) / above_p), 0.02, 0.98))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, decay: float) -> tuple[float, np.ndarray]:
+    """Non-negative unbiased risk of weights w with logistic loss, and the direction in which training descends.
+
+    While the part of the negatives is not negative that is the gradient; below it, the step goes back along that part.
+    """
+    zp, zu = p @ w, u @ w
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    as_positive = prior * np.logaddexp(0, -zp).mean()
+    as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
+    value = as_positive + max(0.0, as_negative) + decay * (w @ w) / 2
+    if as_negative < 0:  # the unbiased estimate has gone below what a risk can be: step back
+        return value, -g_negative + decay * w
+    return value, -prior * (p.T @ (1 - sp)) / len(p) + g_negative + decay * w
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, decay: float = 3e-2, steps: int = 400) -> Model:
     """Minimises the non-negative unbiased risk of a linear model with logistic loss."""
     if not len(positive) or not len(unlabelled):
@@ -117,17 +133,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
     wide = lambda x: np.hstack([(x - mean) * scale, np.ones((len(x), 1))])
     p, u = wide(positive.astype(float)), wide(unlabelled.astype(float))
     prior = estimated_prior(p, u) if prior is None else prior
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w, u @ w
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_negative = u.T @ su / len(u) - prior * (p.T @ sp) / len(p)
-        if as_negative < 0:  # the unbiased estimate has gone below what a risk can be: step back
-            return -g_negative + decay * w
-        return -prior * (p.T @ (1 - sp)) / len(p) + g_negative + decay * w
-
-    w = _adam(gradient, p.shape[1], steps)
+    w = _adam(lambda w: risk(w, p, u, prior, decay)[1], p.shape[1], steps)
     weights = w[:-1] * scale
     return Model(weights, float(w[-1] - mean @ weights), prior)
 
@@ -153,10 +159,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 6000, unlabelled:
     ones, every = seen.agg(F.sum("quality"), F.count(F.lit(1))).first()
     best = seen.filter("quality = 1").select("doc_id")
     chosen = best.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(positives)  # bounded, so it may be broadcast
-    p = gathered(docs.join(F.broadcast(chosen), "doc_id", "left_semi"))
-    n = docs.count()
-    share = min(1.0, unlabelled / max(n, 1))
-    u = gathered(docs.filter(open_rows & (F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 20)) < int(share * (1 << 20)))))
+    # an id counts once, however many rows have it, so both samples stay bounded
+    p = gathered(docs.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    share = min(1.0, unlabelled / max(docs.count(), 1))
+    last = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))  # of the 64-bit hashes, this share lies below
+    u = gathered(docs.filter(open_rows & (F.xxhash64("doc_id", F.lit(9)) <= last)).groupBy("doc_id").agg(F.min("text").alias("text")))
     return fit(p, u, ones / every if ones and ones < every else None)
 
 

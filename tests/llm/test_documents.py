@@ -386,6 +386,27 @@ def test_quality(spark, odd, nothing):
 
 # ---- mixing
 
+def test_risk():
+    """The risk by its definition, and the gradient by differences; below zero, the way back along the negatives' part."""
+    rng = np.random.default_rng(4)
+    p, u = rng.standard_normal((30, 5)) + 0.5, rng.standard_normal((50, 5))
+    part = lambda w, prior: np.log1p(np.exp(u @ w)).mean() - prior * np.log1p(np.exp(p @ w)).mean()
+    kinds = set()
+    for prior in (0.3, 0.6, 0.95):
+        for _ in range(20):
+            w = rng.standard_normal(5) * 2
+            value, g = quality.risk(w, p, u, prior, 0.01)
+            decay = 0.005 * (w @ w)
+            assert abs(value - (prior * np.log1p(np.exp(-(p @ w))).mean() + max(0, part(w, prior)) + decay)) < 1e-9
+            full = lambda v: prior * np.log1p(np.exp(-(p @ v))).mean() + part(v, prior) + 0.005 * (v @ v)
+            back = lambda v: -part(v, prior) + 0.005 * (v @ v)
+            f = full if part(w, prior) >= 0 else back
+            kinds.add(f is full)
+            want = [(f(w + e) - f(w - e)) / 2e-6 for e in np.eye(5) * 1e-6]
+            assert np.allclose(g, want, atol=1e-5)
+    assert kinds == {True, False}
+
+
 def test_exponent():
     w = [1000.0, 100.0, 10.0]
     a = mixing.exponent_for(w, sum(w), 0.9, None)
