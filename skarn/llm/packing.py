@@ -37,28 +37,31 @@ class Bm25:
 
     def __init__(self, docs: list[np.ndarray], query_terms: int, idf: np.ndarray | None = None, mean: float | None = None, k1: float = 1.2, b: float = 0.75):
         """idf by term and the mean length: those of the shard, if not given."""
-        counts = [np.unique(d, return_counts=True) for d in docs]
         n = len(docs)
-        size = np.array([len(d) for d in docs], np.float32)
-        term = np.concatenate([t for t, _ in counts]).astype(np.int64)
-        doc = np.repeat(np.arange(n), [len(t) for t, _ in counts])
-        tf = np.concatenate([c for _, c in counts]).astype(np.float32)
+        size = np.array([len(d) for d in docs], np.int64)
+        # by term, then document: a posting is a run of equal keys
+        key = np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), size)
+        key.sort()
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        tf = np.diff(begin, append=len(key)).astype(np.float32)
+        term, self.doc = np.divmod(key[begin], n)
         df = np.bincount(term)
         idf = idf_of(n, df) if idf is None else idf
         mean = size.mean() if mean is None else mean
-        impact = idf.astype(np.float32)[term] * tf * np.float32(k1 + 1) / (tf + np.float32(k1) * (np.float32(1 - b) + np.float32(b / max(mean, 1)) * size[doc]))
-        order = np.argsort(term, kind="stable")
-        self.doc, self.impact, self.n = doc[order], impact[order], n
+        # what a document's length adds to the count of a term
+        self.slope = slope = (np.float32(k1 * (1 - b)) + np.float32(k1 * b / max(mean, 1)) * size).astype(np.float32)
+        self.idf = idf.astype(np.float32)
+        self.impact = self.idf[term] * tf * np.float32(k1 + 1) / (tf + slope[self.doc])
         self.begin = np.zeros(len(df) + 1, np.int64)
         np.cumsum(df, out=self.begin[1:])
-        self.at = np.zeros(n + 1, np.int64)
-        np.cumsum([len(t) for t, _ in counts], out=self.at[1:])
-        self.term, self.own, self.query_terms = term, impact, query_terms
+        self.docs, self.n, self.query_terms = docs, n, query_terms
 
     def scores(self, seed: int) -> np.ndarray:
-        s = slice(self.at[seed], self.at[seed + 1])
-        query = self.term[s][np.argsort(-self.own[s], kind="stable")[: self.query_terms]]
-        parts = [slice(self.begin[t], self.begin[t + 1]) for t in query]
+        terms, tf = np.unique(self.docs[seed], return_counts=True)
+        if len(terms) > self.query_terms:  # those with the highest impact in the seed
+            own = self.idf[terms] * tf / (tf + self.slope[seed])
+            terms = terms[np.argsort(-own, kind="stable")[: self.query_terms]]
+        parts = [slice(s, e) for s, e in zip(self.begin[terms].tolist(), self.begin[terms.astype(np.int64) + 1].tolist(), strict=True)]
         if not parts:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.impact[p] for p in parts]), self.n)
@@ -130,14 +133,13 @@ def _pieces(order: list[int], docs: list[np.ndarray], window: int) -> Iterator[t
             start, at = start + take, at + take
 
 
-def group_terms(ids: np.ndarray, weight: np.ndarray) -> tuple[int, int]:
-    """Two terms of a document drawn by hash, each with a chance in proportion to its weight, alike in documents alike."""
-    terms = np.unique(ids).astype(np.uint64)
+def term_draws(idf: np.ndarray) -> list[np.ndarray]:
+    """For each of two draws: a number for each term. The largest in a document names the term drawn, with a chance in proportion to its idf, alike in documents alike."""
     out = []
     for seed in (17, 29):
-        u = ((mix64(terms * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / 2**53
-        out.append(int(terms[np.argmax(np.log(u) / weight[terms.astype(np.int64)])]))
-    return out[0], out[1]
+        u = ((mix64(np.arange(len(idf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(11)).astype(float) + 0.5) / 2**53
+        out.append(np.log(u) / idf)
+    return out
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_tokens: int = 2_500_000, query_terms: int = 24) -> DataFrame:
@@ -166,7 +168,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
         df, n, size = np.zeros(1, np.int64), 0, 0
         for b in batches:
             for x in b.column("ids").to_pylist():
-                ids = np.unique(np.frombuffer(x, "<u4"))
+                ids = np.sort(np.frombuffer(x, "<u4"))
+                ids = ids[np.flatnonzero(np.diff(ids, prepend=np.uint32(0xFFFFFFFF)))]
                 if ids[-1] >= len(df):
                     df = np.pad(df, (0, int(ids[-1]) + 1 - len(df)))
                 df[ids] += 1
@@ -184,12 +187,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     heavy = max(1, shard_tokens // 2)
 
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = 0
+        place, draws = 0, term_draws(idf)
         for b in batches:
-            terms = [group_terms(np.frombuffer(x, "<u4"), idf) for x in b.column("ids").to_pylist()]
-            places = np.arange(place, place + b.num_rows)
+            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            drawn = [pa.array([x[np.argmax(d[x])] for x in ids], pa.int32()) for d in draws]
+            yield pa.RecordBatch.from_arrays([*b.columns, *drawn, pa.array(np.arange(place, place + b.num_rows))], names=[*b.schema.names, "one", "two", "place"])
             place += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([t for t, _ in terms], pa.int32()), pa.array([t for _, t in terms], pa.int32()), pa.array(places)], names=[*b.schema.names, "one", "two", "place"])
 
     schema = "doc_id long, h long, n long, ids binary, one int, two int, place long"
     if shards > 1:

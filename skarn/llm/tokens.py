@@ -61,7 +61,7 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         plain = [self.fast is not None and len(t) <= LONGEST and bool(self.plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         other = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [np.asarray(self.fast.encode_to_numpy(t, disallowed_special=()), "<u4").tobytes() if p else next(other) for t, p in zip(texts, plain, strict=True)]
+        return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() if p else next(other) for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)
