@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import cut, mix64, partitions, runs, small_batches, text_bytes
+from skarn.llm.common import cut, mix64, partitions, runs, small_batches
 from skarn.llm.tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -152,15 +152,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     """
     spark = docs.sparkSession
     small_batches(spark)
+    kind = encoder(tokenizer).narrow() if end_id < 1 << 16 else "<u4"  # ids travel in 16 bits if that is enough
+    wide = np.dtype(kind).itemsize
 
     def tokenise(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        known, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        known, end = encoder(tokenizer), np.array([end_id], kind).tobytes()
         for b in batches:
-            raw = [i + end for i in known.ids([x.decode() for x in b.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "h", "n", "ids"])
+            raw = [i + end for i in known.ids(b.column("text").to_pylist(), kind)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array([len(x) // wide for x in raw], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "h", "n", "ids"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), text_bytes().alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     tokens = cut(texts.mapInArrow(tokenise, "doc_id long, h long, n long, ids binary"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,12 +170,12 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
         df, n, size = np.zeros(1, np.int64), 0, 0
         for b in batches:
             for x in b.column("ids").to_pylist():
-                ids = np.sort(np.frombuffer(x, "<u4"))
-                ids = ids[np.flatnonzero(np.diff(ids, prepend=np.uint32(0xFFFFFFFF)))]
+                ids = np.sort(np.frombuffer(x, kind))
+                ids = ids[np.append(True, ids[1:] != ids[:-1])]
                 if ids[-1] >= len(df):
                     df = np.pad(df, (0, int(ids[-1]) + 1 - len(df)))
                 df[ids] += 1
-                n, size = n + 1, size + len(x) // 4
+                n, size = n + 1, size + len(x) // wide
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, size]))], names=["term", "df"])
 
@@ -189,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, draws = 0, term_draws(idf)
         for b in batches:
-            ids = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            ids = [np.frombuffer(x, kind) for x in b.column("ids").to_pylist()]
             drawn = [pa.array([x[np.argmax(d[x])] for x in ids], pa.int32()) for d in draws]
             yield pa.RecordBatch.from_arrays([*b.columns, *drawn, pa.array(np.arange(place, place + b.num_rows))], names=[*b.schema.names, "one", "two", "place"])
             place += b.num_rows
@@ -211,8 +213,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
 
     def shard_pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, t in runs(batches, "shard"):
-            raw, names = t.column("ids").to_pylist(), t.column("doc_id").to_pylist()
-            ids = [np.frombuffer(x, "<u4") for x in raw]
+            names = t.column("doc_id").to_pylist()
+            ids = [np.frombuffer(x, kind).astype("<u4") for x in t.column("ids").to_pylist()]
             got = list(_pieces(reading_order(ids, window, query_terms, idf, mean, names), ids, window))
             for i in range(0, len(got), 2000):
                 part = got[i : i + 2000]
@@ -221,7 +223,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
                         pa.array([names[d] for d, *_ in part], pa.int64()),
                         pa.array([s for _, s, *_ in part], pa.int64()),
                         pa.array([n for _, _, n, *_ in part], pa.int64()),
-                        pa.array([raw[d][4 * s : 4 * (s + n)] for d, s, n, *_ in part], pa.binary()),
+                        pa.array([ids[d][s : s + n].tobytes() for d, s, n, *_ in part], pa.binary()),
                         pa.array([len(ids[d]) for d, *_ in part], pa.int64()),
                         pa.array([(shard << 32) + w for *_, w, _ in part], pa.int64()),
                         pa.array([o for *_, o in part], pa.int64()),

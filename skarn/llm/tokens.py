@@ -47,7 +47,7 @@ def _ranks(path: str) -> dict[bytes, int] | None:
 
 
 class Encoder:
-    """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
+    """ids(texts): the ids of each text as bytes, little-endian, unsigned, of 32 bits or those of another type."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -55,13 +55,17 @@ class Encoder:
         self.plain, ranks = re.compile(PLAIN), _ranks(path)
         self.fast = tiktoken.Encoding("plain", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def narrow(self) -> str:
+        """The smallest type that holds all ids."""
+        return "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str], kind: str = "<u4") -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids(self, texts: list[str], kind: str = "<u4") -> list[bytes]:
         plain = [self.fast is not None and len(t) <= LONGEST and bool(self.plain.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        other = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() if p else next(other) for t, p in zip(texts, plain, strict=True)]
+        other = iter(self._whole([t for t, p in zip(texts, plain, strict=True) if not p], kind))
+        return [np.array(self.fast.encode_ordinary(t), kind).tobytes() if p else next(other) for t, p in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=2)
