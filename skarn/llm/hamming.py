@@ -111,22 +111,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
                             for j in range(0, len(at), step):
                                 some = pa.array(np.repeat(at[j : j + step], len(mask)))
                                 values = (value_of(c[j : j + step], s, e)[:, None] ^ mask).reshape(-1)
-                                yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, values)), *(b.column(n).take(some) for n in ("q", "id", "code", "bits"))], names=["place", "q", "id", "q_code", "q_bits"])
+                                yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, values)), pa.array(np.full(len(values), i), pa.int32()), *(b.column(n).take(some) for n in ("q", "id", "code", "bits"))], names=["place", "segment", "q", "id", "q_code", "q_bits"])
 
         return rows
 
-    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = b.column("q_code").to_pylist(), b.column("code").to_pylist()
-            size = np.array([len(x) // 8 for x in a], np.int64)
-            x = np.frombuffer(b"".join(a), np.uint64) ^ np.frombuffer(b"".join(c), np.uint64)
-            d = np.add.reduceat(np.bitwise_count(x).astype(np.int32), np.cumsum(size) - size) if len(size) else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), b.column("code"), b.column("ids"), pa.array(d, pa.int32())], names=["q", "id", "code", "ids", "distance"])
+    def measured(r: int):
+        def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Distances of the codes met, each told by the first of its nearest segments only, and only if no smaller radius has told it."""
+            for b in batches:
+                bits, of = b.column("q_bits").to_numpy(zero_copy_only=False), b.column("segment").to_numpy(zero_copy_only=False)
+                a, c = b.column("q_code").to_pylist(), b.column("code").to_pylist()
+                for size in np.unique(bits).tolist():
+                    at = np.flatnonzero(bits == size)
+                    x = np.frombuffer(b"".join(a[i] for i in at.tolist()), np.uint64) ^ np.frombuffer(b"".join(c[i] for i in at.tolist()), np.uint64)
+                    x = x.reshape(len(at), -1)
+                    apart = np.stack([np.bitwise_count(value_of(x, s, e)) for s, e in segments(size, sizes.get(size, 1))], axis=1)
+                    first = apart.argmin(1)
+                    new = (first == of[at]) & (apart[np.arange(len(at)), first] == r)
+                    some = pa.array(at[new])
+                    yield pa.RecordBatch.from_arrays([*(b.column(n).take(some) for n in ("q", "id", "code", "ids")), pa.array(np.bitwise_count(x[new]).sum(1).astype(np.int32))], names=["q", "id", "code", "ids", "distance"])
+
+        return rows
 
     def nearest(hits: DataFrame) -> DataFrame:
         """Of each query the k codes whose first row comes first: no other code has a row among the k best."""
         others = F.filter("ids", lambda i: i != F.col("id")) if leave_out_self else F.col("ids")
-        x = hits.withColumn("ids", others).filter(F.size("ids") > 0).dropDuplicates(["q", "code"])
+        x = hits.withColumn("ids", others).filter(F.size("ids") > 0)
         w = Window.partitionBy("q").orderBy("distance", F.array_min("ids"))
         return x.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("q", "id", "code", "ids", "distance")
 
@@ -140,11 +150,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
         if not left:
             break
         if any(sum(math.comb(e - s, r) for s, e in segs) > sizes.get(b, 0) for b, segs in left.items()):
-            done.append(nearest(_meet_all(still, codes, k, block, query_block)))
+            done.append(nearest(_meet_all(still, codes, k, block, query_block)))  # these have met no code that counts yet
             break
-        probes = still.select("q", "id", "code", "bits").mapInArrow(probe(r), "place long, q long, id long, q_code binary, q_bits int")
-        met = probes.join(index, "place").filter("bits = q_bits").dropDuplicates(["q", "code"])
-        new = met.select("q", "id", "q_code", "code", "ids").mapInArrow(measured, "q long, id long, code binary, ids array<long>, distance int")
+        probes = still.select("q", "id", "code", "bits").mapInArrow(probe(r), "place long, segment int, q long, id long, q_code binary, q_bits int")
+        met = probes.join(index, "place").filter("bits = q_bits")
+        new = met.select("q", "id", "segment", "q_code", "q_bits", "code", "ids").mapInArrow(measured(r), "q long, id long, code binary, ids array<long>, distance int")
         found = cut(nearest(new if seen is None else seen.unionByName(new)))
         state = rows_of(found).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
         m = F.create_map(*[F.lit(x) for b, segs in left.items() for x in (b, len(segs))])
