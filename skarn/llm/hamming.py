@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
     few = ranked.withColumn("r", F.row_number().over(few)).filter(F.col("r") <= spare)
     codes = cut(few.groupBy("code", "bits").agg(F.slice(F.sort_array(F.collect_list("id")), 1, spare).alias("ids")))
     # rows that repeat ask once, and their answers go to each of them
-    asked = cut(coded(queries).groupBy("id", "code", "bits").agg(F.count(F.lit(1)).alias("times")).withColumn("q", F.xxhash64("id", "code", "bits")))
+    asked = cut(coded(queries).groupBy("id", "code", "bits").agg(F.count(F.lit(1)).alias("times")).withColumn("q", F.xxhash64("id", "code", "bits")).withColumn("bound", F.lit(1 << 30)))
     sizes = {r["bits"]: r["n"] for r in codes.groupBy("bits").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vectors
 
     def words(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -111,15 +111,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
                             for j in range(0, len(at), step):
                                 some = pa.array(np.repeat(at[j : j + step], len(mask)))
                                 values = (value_of(c[j : j + step], s, e)[:, None] ^ mask).reshape(-1)
-                                yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, values)), pa.array(np.full(len(values), i), pa.int32()), *(b.column(n).take(some) for n in ("q", "id", "code", "bits"))], names=["place", "segment", "q", "id", "q_code", "q_bits"])
+                                yield pa.RecordBatch.from_arrays([pa.array(_place(size, i, values)), pa.array(np.full(len(values), i), pa.int32()), *(b.column(n).take(some) for n in ("q", "id", "code", "bits", "bound"))], names=["place", "segment", "q", "id", "q_code", "q_bits", "bound"])
 
         return rows
 
     def measured(r: int):
         def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Distances of the codes met, each told by the first of its nearest segments only, and only if no smaller radius has told it."""
+            """Distances of the codes met, each told by the first of its nearest segments only, and only if no smaller radius has told it.
+
+            Codes further away than the k-th row that the query has already are of no use.
+            """
             for b in batches:
-                bits, of = b.column("q_bits").to_numpy(zero_copy_only=False), b.column("segment").to_numpy(zero_copy_only=False)
+                bits, of, bound = (b.column(n).to_numpy(zero_copy_only=False) for n in ("q_bits", "segment", "bound"))
                 a, c = b.column("q_code").to_pylist(), b.column("code").to_pylist()
                 for size in np.unique(bits).tolist():
                     at = np.flatnonzero(bits == size)
@@ -127,9 +130,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
                     x = x.reshape(len(at), -1)
                     apart = np.stack([np.bitwise_count(value_of(x, s, e)) for s, e in segments(size, sizes.get(size, 1))], axis=1)
                     first = apart.argmin(1)
-                    new = (first == of[at]) & (apart[np.arange(len(at)), first] == r)
+                    far = np.bitwise_count(x).sum(1).astype(np.int32)
+                    new = (first == of[at]) & (apart[np.arange(len(at)), first] == r) & (far <= bound[at])
                     some = pa.array(at[new])
-                    yield pa.RecordBatch.from_arrays([*(b.column(n).take(some) for n in ("q", "id", "code", "ids")), pa.array(np.bitwise_count(x[new]).sum(1).astype(np.int32))], names=["q", "id", "code", "ids", "distance"])
+                    yield pa.RecordBatch.from_arrays([*(b.column(n).take(some) for n in ("q", "id", "code", "ids")), pa.array(far[new])], names=["q", "id", "code", "ids", "distance"])
 
         return rows
 
@@ -152,16 +156,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
         if any(sum(math.comb(e - s, r) for s, e in segs) > sizes.get(b, 0) for b, segs in left.items()):
             done.append(nearest(_meet_all(still, codes, k, block, query_block)))  # these have met no code that counts yet
             break
-        probes = still.select("q", "id", "code", "bits").mapInArrow(probe(r), "place long, segment int, q long, id long, q_code binary, q_bits int")
+        # many more rows than queries, which Spark can't know: no broadcast
+        probes = still.select("q", "id", "code", "bits", "bound").mapInArrow(probe(r), "place long, segment int, q long, id long, q_code binary, q_bits int, bound int").hint("merge")
         met = probes.join(index, "place").filter("bits = q_bits")
-        new = met.select("q", "id", "segment", "q_code", "q_bits", "code", "ids").mapInArrow(measured(r), "q long, id long, code binary, ids array<long>, distance int")
+        new = met.select("q", "id", "segment", "q_code", "q_bits", "bound", "code", "ids").mapInArrow(measured(r), "q long, id long, code binary, ids array<long>, distance int")
         found = cut(nearest(new if seen is None else seen.unionByName(new)))
         state = rows_of(found).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
         m = F.create_map(*[F.lit(x) for b, segs in left.items() for x in (b, len(segs))])
         covered = F.coalesce((F.col("n") >= k) & (F.col("kth") <= m[F.col("bits")] * (r + 1) - 1), F.lit(False))
         checked = cut(still.join(state, "q", "left").withColumn("covered", covered))
         done.append(cut(found.join(checked.filter("covered").select("q"), "q", "left_semi")))
-        still = checked.filter("not covered").select("id", "code", "bits", "times", "q")
+        still = checked.filter("not covered").select("id", "code", "bits", "times", "q", F.when(F.col("n") >= k, F.col("kth")).otherwise(1 << 30).cast("int").alias("bound"))
         seen, r = cut(found.join(still.select("q"), "q", "left_semi")), r + 1
         drop(found)
     hits = done[0] if done else codes.select(F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("id"), "code", "ids", F.lit(0).alias("distance")).filter("false")
