@@ -92,6 +92,14 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(read(spark, sf_dir, "documents"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.infill import infill, restored
+
+    x = infill(read(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return x.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_retrieval_packing": op1_retrieval_packing,
     "op2_hamming_top_k": op2_hamming_top_k,
@@ -103,6 +111,7 @@ QUERIES = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_chat_masks": op9_chat_masks,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_infill": op12_infill,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -159,4 +168,12 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
                CAST(sum(24 + length(role) + n) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op12_infill": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+        r AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS y, CAST('0x' || h[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS h4 FROM d),
+        f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 100 THEN 'plain' WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+        p AS (SELECT *, array_to_string(u[1 : least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1 : greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1 :], '') AS s FROM f)
+        SELECT doc_id, len(u) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
