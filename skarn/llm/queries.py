@@ -92,6 +92,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links(read(spark, sf_dir, "documents"))
 
 
+def op11_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skarn.llm.sharding import assign
+
+    return assign(read(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skarn.llm.infill import infill, restored
 
@@ -119,6 +125,7 @@ QUERIES = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_chat_masks": op9_chat_masks,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_label_propagation": op11_label_propagation,
     "op12_infill": op12_infill,
     "op13_hard_negatives": op13_hard_negatives,
 }
