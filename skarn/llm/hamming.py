@@ -163,7 +163,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, leave_out_self: b
         found = cut(nearest(new if seen is None else seen.unionByName(new)))
         state = rows_of(found).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("kth"))
         m = F.create_map(*[F.lit(x) for b, segs in left.items() for x in (b, len(segs))])
-        covered = F.coalesce((F.col("n") >= k) & (F.col("kth") <= m[F.col("bits")] * (r + 1) - 1), F.lit(False))
+        reach = m[F.col("bits")] * (r + 1) - 1
+        # where the radius reaches over the whole code every code has been seen, be there k of them or not
+        covered = F.coalesce((F.col("n") >= k) & (F.col("kth") <= reach), F.lit(False)) | (reach >= F.col("bits"))
         checked = cut(still.join(state, "q", "left").withColumn("covered", covered))
         done.append(cut(found.join(checked.filter("covered").select("q"), "q", "left_semi")))
         still = checked.filter("not covered").select("id", "code", "bits", "times", "q", F.when(F.col("n") >= k, F.col("kth")).otherwise(1 << 30).cast("int").alias("bound"))

@@ -261,18 +261,17 @@ def test_line_recall(spark, size):
 
 
 def test_blocks():
-    """Lines that share 0.7 of their min-hashes meet, at every size, while unlike ones don't."""
+    """Lines that share 0.7 of their min-hashes meet, and short ones that share 0.45, at every size, while unlike ones don't."""
     rng = np.random.default_rng(0)
     for n in (10, 10**6, 10**9, 10**12):
         got = lines.blocks(n)
         rows = len(got[0][0]) + len(got[0][1][0])
         assert n / 2.0 ** (8 * rows) < 0.05 or n <= 4_000_000
-        same = rng.random((4000, lines.SLOTS)) < 0.7
-        met = np.zeros(4000, bool)
+        share = rng.random((4000, lines.SLOTS))
         for travel, long, short in got:
             assert all(len(x) == rows - len(travel) and not set(x) & set(travel) for x in long) and all(len(x) == rows - len(travel) - 1 for x in short)
-            met |= same[:, travel].all(1) & np.any([same[:, x].all(1) for x in long], axis=0)
-        assert met.mean() >= 0.98
+        assert np.any([lines.met(t, share < 0.7, False) for t in got], axis=0).mean() >= 0.98
+        assert np.any([lines.met(t, share < 0.45, True) for t in got], axis=0).mean() >= 0.85
 
 
 def test_lines_clash(spark, odd):

@@ -79,6 +79,21 @@ def test_hamming(vectors, spark, block, query_block):
         assert have.get(q, []) == want
 
 
+def test_hamming_few(spark):
+    """With k above the number of others a query gets all of them, in codes of several lengths at once; empty tables give nothing."""
+    rng = np.random.default_rng(8)
+    every = [rng.standard_normal(5).tolist() for _ in range(9)] + [rng.standard_normal(64).tolist() for _ in range(6)] + [rng.standard_normal(12).tolist() for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(every)), "vec_id long, embedding array<double>")
+    have = {}
+    for r in sorted(hamming.top_k(df, df.filter("vec_id < 20"), 30).collect(), key=lambda r: r["rank"]):
+        have.setdefault(r["query_id"], []).append((r["distance"], r["vec_id"]))
+    for q in range(20):
+        want = sorted((sum(a != b for a, b in zip(code(every[q]), code(v), strict=True)), i) for i, v in enumerate(every) if i != q and len(v) == len(every[q]))[:30]
+        assert have.get(q, []) == want
+    none = spark.createDataFrame([], df.schema)
+    assert hamming.top_k(none, df).count() == hamming.top_k(df, none).count() == hamming.top_k(none, none).count() == 0
+
+
 def test_segments():
     """Every code within distance m * (r + 1) - 1 shares a segment up to r flips; masks name each flip once."""
     rng = np.random.default_rng(1)
