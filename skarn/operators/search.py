@@ -111,48 +111,6 @@ def lengths(terms: DataFrame, idf: DataFrame) -> DataFrame:
     return terms.join(idf.select("token", "idf"), "token").groupBy("id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("dn"))
 
 
-class Index:
-    """The third tier kept as tables, so that searches read them in place of tokenising the corpus again.
-
-    postings (token, id) lie in `buckets` files by token, so a query reads the buckets of its tokens only; idf (token, df, idf) and
-    norms (id, ord, dn, grams) beside them.
-    """
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-        self.idf, self.norms = spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/norms")
-        self.buckets = self.norms.select("buckets").first()[0] if not self.norms.isEmpty() else 1
-
-    @classmethod
-    def build(cls, docs: DataFrame, path: str, buckets: int = 64) -> Index:
-        """docs: id, ord, text."""
-        spark = docs.sparkSession
-        terms, idf, _ = inverse_frequencies(docs)
-        terms.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        kept = spark.read.parquet(f"{path}/postings") if buckets and not docs.isEmpty() else terms
-        idf.write.mode("overwrite").parquet(f"{path}/idf")
-        norms = docs.select("id", "ord", bigrams(norm(F.col("text"))).alias("grams")).join(lengths(kept.select("id", "token"), spark.read.parquet(f"{path}/idf")), "id", "left")
-        norms.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/norms")
-        return cls(spark, path)
-
-    def semantic(self, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-        """As the function semantic; queries: qid, nq, toks."""
-        q = queries.select("qid", F.explode("toks").alias("token")).join(self.idf, "token", "left").select("qid", "token", F.coalesce("idf", F.lit(1.0)).alias("qw"))
-        wanted = [r[0] for r in q.select(F.pmod(F.xxhash64("token"), F.lit(self.buckets))).distinct().collect()]  # of a stated set of queries: at most `buckets`
-        qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-        postings = self.spark.read.parquet(f"{self.path}/postings").filter(F.col("bucket").isin(wanted))
-        dot = postings.join(q, "token").groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("qw")).alias("dot"))
-        grams = queries.select("qid", bigrams(F.col("nq")).alias("g"))
-        one = grams.select(F.explode("g").alias("gram"), "qid", F.size("g").alias("nqg"))
-        d = self.norms.crossJoin(F.broadcast(one.agg(F.collect_set("gram").alias("asked"))))
-        d = d.select("id", F.size("grams").alias("nd"), F.explode(F.array_intersect("grams", "asked")).alias("gram"))
-        dc = d.join(one, "gram").groupBy("qid", "id", "nd", "nqg").agg(F.count(F.lit(1)).alias("both")).select("qid", "id", (2.0 * F.col("both") / (F.col("nd") + F.col("nqg"))).alias("dice"))
-        hits = dot.join(dc, ["qid", "id"], "full").join(self.norms.select("id", "ord", "dn"), "id").join(F.broadcast(qn), "qid")
-        cos = F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0))
-        hits = hits.withColumn("cos", cos).withColumn("dice", F.coalesce("dice", F.lit(0.0))).withColumn("c", 0.6 * F.col("cos") + 0.4 * F.col("dice"))
-        return hits.filter(F.col("c") >= threshold).select("qid", "id", "ord", round_to(F.col("c"), 2).alias("score"), F.lit("L3-semantic").alias("level"), "cos", "dice")
-
-
 def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, cosine of binary TF-IDF vectors. queries: qid, toks (expanded or not)."""
     terms, idf, _ = inverse_frequencies(docs)
@@ -189,7 +147,7 @@ def semantic(docs: DataFrame, queries: DataFrame, synonyms: DataFrame | None = N
 
 def expand(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(qid, token) with the synonyms (term, synonym) of each token."""
-    more = terms.join(synonyms, F.col("token") == F.col("term")).select("qid", F.col("synonym").alias("token"))
+    more = terms.join(synonyms, F.col("token") == F.col("term")).select("qid", norm(F.col("synonym")).alias("token"))
     return terms.select("qid", "token").union(more).distinct()
 
 
@@ -239,14 +197,21 @@ def reranked(hits: DataFrame, tools: DataFrame, queries: DataFrame) -> DataFrame
     return x.withColumn("post", F.col("score")).withColumn("score", F.greatest(F.lit(0.01), round_to(s, 2))).select(*hits.columns, "post")
 
 
-def search(tools: DataFrame, queries: DataFrame, k: int = 5, category: str | None = None, language: str | None = None, stats: DataFrame | None = None, synonyms: DataFrame | None = None) -> DataFrame:
-    """qid, rank, id, score, level of the best k tools for each of queries (qid, query)."""
+def search(tools: DataFrame, queries: DataFrame, k: int = 5, category: str | None = None, language: str | None = None, stats: DataFrame | None = None, synonyms: DataFrame | None = None, index=None) -> DataFrame:
+    """qid, rank, id, score, level of the best k tools for each of queries (qid, query).
+
+    index: an index.SearchIndex over tool_text of the active tools, read in place of tokenising them; scores are those of the filtered
+    set, so it serves searches without category and language.
+    """
+    if index is not None and (category or language):
+        raise ValueError("the kept index holds the frequencies of all active tools: search without it within a category or language")
     few, q = filtered(tools, category, language), asked(queries)
     l1 = exact(few, q)
     first = Window.partitionBy("qid").orderBy("ord")
     l1 = l1.withColumn("pre", F.col("score")).withColumn("tier", F.lit(0)).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k).drop("r")
     rest = q.join(l1.select("qid").distinct(), "qid", "left_anti")
-    hits = merged(keyword(few, rest), semantic(tool_text(few), rest, synonyms))
+    l3 = semantic(tool_text(few), rest, synonyms) if index is None else index.semantic(rest, synonyms)
+    hits = merged(keyword(few, rest), l3)
     if stats is not None:
         l1, hits = telemetry_weighted(l1, stats), telemetry_weighted(hits, stats)
     hits = reranked(hits, few, rest)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,7 @@ from skarn.functions import calendar as C
 from skarn.functions import text as X
 from skarn.operators import behaviour, catalog, classify, contract, graph, jobs, synonyms, telemetry, trending
 from skarn.operators import search as S
+from skarn.operators.index import SearchIndex, kept
 from skarn.plans import planner
 from skarn.plans import sql as Q
 from skarn.sources import adapters as A
@@ -33,6 +36,8 @@ def one(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("0", text)], "qid string, query string")
 
 
+_SEEDS = ", ".join(f"('{t}', '{s}')" for t, ss in synonyms.SEEDS.items() for s in ss)
+
 # ---- retrieval
 
 @query(f"WITH {Q.TOOLS}, {Q.LIVE} SELECT id, CAST(1 AS DOUBLE) AS score FROM live WHERE name = 'red widget' ORDER BY ord LIMIT 5")
@@ -94,6 +99,31 @@ def index_stats(spark, d):
     return terms.agg(F.count_distinct("token").alias("terms"), F.count(F.lit(1)).alias("postings")).crossJoin(n.select(F.col("n").alias("docs")))
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: that of spark.checkpoint.dir, or beside the warehouse where one machine is all there is."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/skarn-{spark.sparkContext.applicationId}"
+
+
+def _kept(spark: SparkSession, d: str, name: str, docs) -> SearchIndex:
+    """The index of this session over the tables of d: built by whoever asks first, read by all later searches."""
+    at = f"{scratch(spark)}/index-{name}-{hashlib.sha256(d.encode()).hexdigest()[:16]}"
+    return kept(at, docs.withColumn("id", F.col("id").cast("string")))
+
+
+def document_index(spark: SparkSession, d: str) -> SearchIndex:
+    return _kept(spark, d, "documents", _docs(spark, d))
+
+
+def tool_index(spark: SparkSession, d: str) -> SearchIndex:
+    """Over the active tools."""
+    return _kept(spark, d, "tools", S.tool_text(S.filtered(A.catalog(spark, d))))
+
+
 _LONG = "the and of erand than widget"
 _SEM = f"WITH {Q.query_row(_LONG)}, src AS (SELECT doc_id AS id, doc_id AS ord, text FROM documents), {Q.semantic('src')}"
 
@@ -110,12 +140,36 @@ def dice_overlap_topk(spark, d):
     return c.select("id", X.round_to(F.col("dice"), 6).alias("dice")).orderBy(F.desc("dice"), "id").limit(20)
 
 
-@query(f"{_SEM} SELECT id, {Q.round_to('c', 2)} AS score FROM l3")
+_HYBRID = f"WITH {Q.query_row(_LONG + ' sql')}, src AS (SELECT doc_id AS id, doc_id AS ord, text FROM documents), {Q.semantic('src', _SEEDS)}"
+
+
+@query(f"{_HYBRID} SELECT id, {Q.round_to('c', 2)} AS score FROM l3")
 def hybrid_semantic(spark, d):
-    return S.semantic(_docs(spark, d), S.asked(one(spark, _LONG))).select("id", "score")
+    hits = document_index(spark, d).semantic(S.asked(one(spark, _LONG + " sql")), synonyms.seed_links(spark))
+    return hits.select(F.col("id").cast("long").alias("id"), "score")
+
+
+@query(f"{_HYBRID} SELECT CAST(row_number() OVER (ORDER BY c DESC, ord) AS INTEGER) AS rank, id, {Q.round_to('c', 6)} AS c FROM l3 ORDER BY rank LIMIT 50")
+def hybrid_best(spark, d):
+    """The 50 best documents: bounds from postings rule out nearly all others before their terms are read."""
+    hits = document_index(spark, d).best(S.asked(one(spark, _LONG + " sql")), 50, synonyms.seed_links(spark))
+    return hits.select("rank", F.col("id").cast("long").alias("id"), X.round_to(F.col("c"), 6).alias("c"))
+
 
+@query(f"{_HYBRID} SELECT id, {Q.round_to('c', 2)} AS score FROM l3")
+def hybrid_after_changes(spark, d):
+    """The same from an index that was built from other texts, then changed document by document, shrunk and compacted."""
+    docs = _docs(spark, d).withColumn("id", F.col("id").cast("string"))
+    odd = F.col("ord") % 3 == 0
+    first = docs.withColumn("text", F.when(odd, F.reverse("text")).otherwise(F.col("text")))
+    extra = docs.filter(odd).withColumn("id", F.concat(F.lit("x"), "id"))
+    index = SearchIndex(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}").put(first).put(extra)
+    index = index.put(docs.filter(odd)).remove(extra).compact()
+    hits = index.semantic(S.asked(one(spark, _LONG + " sql")), synonyms.seed_links(spark))
+    return hits.select(F.col("id").cast("long").alias("id"), "score")
 
-_FULL = f"""WITH {Q.TOOLS}, {Q.LIVE}, {Q.query_row('python rag widget blue')}, {Q.keyword()}, {Q.TOOL_TEXT}, {Q.semantic('texts')}, {Q.TRACES}, {Q.STATS},
+
+_FULL = f"""WITH {Q.TOOLS}, {Q.LIVE}, {Q.query_row('python rag widget blue')}, {Q.keyword()}, {Q.TOOL_TEXT}, {Q.semantic('texts', _SEEDS)}, {Q.TRACES}, {Q.STATS},
     m AS (SELECT id, ord, score, score AS pre, 0 AS tier FROM l2 UNION ALL
           SELECT id, ord, {Q.round_to(Q.round_to('c', 2) + ' * 0.5', 2)}, {Q.round_to('c', 2)}, 1 FROM l3 WHERE id NOT IN (SELECT id FROM l2)),
     w AS (SELECT m.* EXCLUDE (score), CASE WHEN coalesce(total, 0) < 2 THEN score WHEN success_rate <= 0.3 THEN score * 0.1 WHEN success_rate >= 0.8 THEN least(score * 1.2, 0.99) ELSE score END AS post
@@ -128,12 +182,13 @@ _FULL = f"""WITH {Q.TOOLS}, {Q.LIVE}, {Q.query_row('python rag widget blue')}, {
 
 @query(_FULL)
 def search_full(spark, d):
-    return S.search(A.catalog(spark, d), one(spark, "python rag widget blue"), 10, stats=telemetry.stats(A.traces(spark, d))).drop("qid")
+    stats = telemetry.stats(A.traces(spark, d))
+    return S.search(A.catalog(spark, d), one(spark, "python rag widget blue"), 10, stats=stats, synonyms=synonyms.seed_links(spark), index=tool_index(spark, d)).drop("qid")
 
 
-@query(f"WITH {Q.TOOLS}, live AS (SELECT * FROM tools), {Q.query_row('blue bolt kit')}, {Q.TOOL_TEXT}, {Q.semantic('texts')} SELECT id, {Q.round_to('c', 2)} AS score FROM l3")
+@query(f"WITH {Q.TOOLS}, live AS (SELECT * FROM tools), {Q.query_row('blue bolt rag kit')}, {Q.TOOL_TEXT}, {Q.semantic('texts', _SEEDS)} SELECT id, {Q.round_to('c', 2)} AS score FROM l3")
 def search_unfiltered(spark, d):
-    return S.unfiltered(A.catalog(spark, d), one(spark, "blue bolt kit")).select("id", "score")
+    return S.unfiltered(A.catalog(spark, d), one(spark, "blue bolt rag kit"), synonyms.seed_links(spark)).select("id", "score")
 
 
 @query("SELECT DISTINCT a.p_name AS a, 'red widget' AS b, round(1 - levenshtein(a.p_name, 'red widget') / greatest(length(a.p_name), 10), 9) AS similarity FROM part a")
@@ -229,9 +284,6 @@ def synonym_mine(spark, d):
     return synonyms.mine(_zh_tools(spark))
 
 
-_SEEDS = ", ".join(f"('{t}', '{s}')" for t, ss in synonyms.SEEDS.items() for s in ss)
-
-
 _ALIASES = ", ".join(f"('{a}', '{t}')" for a, t in synonyms.ALIASES.items())
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.functions import calendar
 from skarn.operators import catalog, classify, contract, graph, jobs, reports, telemetry, trending
 from skarn.plans import sql as Q
-from skarn.plans.queries import ORACLE_SQL, query, week_to_date
+from skarn.plans.queries import ORACLE_SQL, query, scratch, week_to_date
 from skarn.sources import adapters as A
 from skarn.sources import connectors
 
@@ -557,7 +559,7 @@ def skill_rows(spark, d):
 @query(f"WITH {Q.TRACES}, {Q.STATS} SELECT tool_id, total, success, fail, success_rate FROM stats")
 def materialized_summary(spark, d):
     """The telemetry summary as a table with an age, built where there is none; read back."""
-    return telemetry.materialized(A.traces(spark, d), f"{_scratch(spark)}/summary-{abs(hash(d))}").drop("generated_at")
+    return telemetry.materialized(A.traces(spark, d), f"{scratch(spark)}/summary-{hashlib.sha256(d.encode()).hexdigest()[:16]}").drop("generated_at")
 
 
 @query(f"WITH {Q.TRACES}, {Q.STATS} SELECT tool_id, total, success, fail FROM stats")
@@ -568,13 +570,7 @@ def trace_stream_parity(spark, d):
     e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(f"{d}/events.parquet*")
     n = A.table(spark, d, "part").count()
     stream = e.select(F.concat(F.lit("part-"), (F.col("event_id") % n).cast("string")).alias("tool_id"), (F.col("event_type") != "error").alias("success"))
-    return drained(running_stats(stream), f"{_scratch(spark)}/stream")
-
-
-def _scratch(spark):
-    """A folder that driver and executors share: beside the warehouse, or that of spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/skarn-{spark.sparkContext.applicationId}"
+    return drained(running_stats(stream), f"{scratch(spark)}/stream")
 
 
 _CTX_NONE = "greatest(0.01, " + Q.round_to("post + CASE WHEN stars > 1000 THEN least(0.05 * log10(stars), 0.20) ELSE 0 END", 2) + ")"

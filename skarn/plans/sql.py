@@ -77,14 +77,15 @@ def keyword() -> str:
         l2 AS (SELECT id, ord, CASE WHEN neg THEN 0.01 ELSE {round_to('least(raw / most, 0.99)', 2)} END AS score, neg, n_matched FROM s WHERE raw > 0 OR neg)"""
 
 
-def semantic(docs: str) -> str:
-    """Third-tier scores over table docs (id, ord, text) for q, as table l3 (id, ord, c, cos, dice)."""
+def semantic(docs: str, synonyms: str = "") -> str:
+    """Third-tier scores over table docs (id, ord, text) for q, as table l3 (id, ord, c, cos, dice). synonyms: VALUES of term and synonym."""
     n = norm("text")
+    more = f" UNION SELECT {norm('synonym')} FROM (SELECT unnest(toks) AS token FROM q) JOIN (VALUES {synonyms}) y(term, synonym) ON token = term" if synonyms else ""
     return f"""d0 AS (SELECT id, ord, {n} AS t FROM {docs}), dn AS (SELECT *, {squeezed('t')} AS z FROM d0), q0 AS (SELECT {squeezed('nq')} AS z FROM q),
         dt AS (SELECT id, unnest({tokens('t')}) AS token FROM dn),
         df AS (SELECT token, ln(((SELECT count(*) FROM dn) + 1) / (count(*) + 1)) + 1 AS idf FROM dt GROUP BY token),
         dl AS (SELECT id, sqrt(sum(idf * idf)) AS dn FROM dt JOIN df USING (token) GROUP BY id),
-        qt AS (SELECT token, coalesce(idf, 1.0) AS qw FROM (SELECT unnest(toks) AS token FROM q) LEFT JOIN df USING (token)),
+        qt AS (SELECT token, coalesce(idf, 1.0) AS qw FROM (SELECT unnest(toks) AS token FROM q{more}) LEFT JOIN df USING (token)),
         ql AS (SELECT sqrt(sum(qw * qw)) AS qn FROM qt),
         co AS (SELECT id, sum(qw * qw) / ((SELECT qn FROM ql) * any_value(dl.dn)) AS cos FROM dt JOIN qt USING (token) JOIN dl USING (id) GROUP BY id),
         dg AS (SELECT id, {bigrams('z')} AS g FROM dn), qg AS (SELECT {bigrams('z')} AS h FROM q0),

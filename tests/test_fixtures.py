@@ -151,19 +151,6 @@ def test_success_rate_in_proportion(spark):
     assert abs(big[1]["rate"] - 0.5) < 0.01
 
 
-def test_search_index(spark, tmp_path):
-    """The kept index scores as the tier itself does."""
-    from skarn.operators import search as S
-
-    texts = ["red widget for python", "blue widget", "green bolt and red bolt", "簡報 工具", "", None]
-    docs = spark.createDataFrame([(f"d{i}", i, t) for i, t in enumerate(texts)], "id string, ord int, text string")
-    q = S.asked(spark.createDataFrame([("0", "red widget"), ("1", "blue bolt unknown")], "qid string, query string"))
-    want = sorted((r["qid"], r["id"], r["score"], round(r["cos"], 9)) for r in S.semantic(docs, q).collect())
-    index = S.Index.build(docs, str(tmp_path / "index"), buckets=4)
-    got = sorted((r["qid"], r["id"], r["score"], round(r["cos"], 9)) for r in index.semantic(q).collect())
-    assert got == want and len(got) > 3
-
-
 def test_plain_prefilter(spark):
     """The literal look before a category's pattern never hides a match."""
     from skarn.functions.text import any_word
