@@ -70,12 +70,13 @@ def union_skills(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
 
 
 def parse_skills(text: DataFrame, limit: int = 10) -> DataFrame:
-    """Lines like owner/repo@name 12 installs, in order, as rows."""
-    lines = text.select(F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    """Lines like owner/repo@name 12 installs of each text, in order, as rows; other columns stay."""
     pattern = r"(\w+/\w+)@([\w-]+)\s+(\d+)\s+installs?"
-    x = lines.filter(F.rlike("line", F.lit(pattern)))
+    found = F.slice(F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(pattern))), 1, limit)
+    x = text.withColumn("line", F.explode(found))
     part = lambda g: F.regexp_extract("line", pattern, g)
-    return x.orderBy("i").limit(limit).select(F.concat(part(1), F.lit("@"), part(2)).alias("id"), part(2).alias("name"), part(1).alias("source"), part(3).cast("long").alias("installs"))
+    kept = [c for c in text.columns if c != "text"]
+    return x.select(*kept, F.concat(part(1), F.lit("@"), part(2)).alias("id"), part(2).alias("name"), part(1).alias("source"), part(3).cast("long").alias("installs"))
 
 
 def url_lines(text: DataFrame) -> DataFrame:

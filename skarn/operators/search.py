@@ -1,8 +1,8 @@
 """Three-tier retrieval over a catalog, for one query or a table of queries at once.
 
 Tools are filtered first: document frequencies, and so all scores of the third tier, are those of the filtered set. The
-first and second tier look at each tool once for each query; queries are a small stated set and travel as a broadcast
-while they are at most `MANY`. The third tier is an inverted index: queries meet only documents that share a token or a
+second tier looks at each tool for each of a few queries, which travel as a broadcast; more than `FEW` queries meet only tools that they share a
+substring with, found by character grams. The third tier is an inverted index: queries meet only documents that share a token or a
 bigram with them.
 """
 
@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import any_word, bigrams, norm, norm_array, round_to, strip_spoken, tokens
+from skarn.operators.grams import containing
 
-MANY = 10_000
+#: Queries up to which the second tier scores every tool for each of them.
+FEW = 64
 THRESHOLD = 0.03
 TEXT_LIMIT = 3000
 
@@ -34,11 +36,25 @@ def asked(queries: DataFrame) -> DataFrame:
 
 
 def _with_queries(tools: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every tool beside every query: the stated query set against all rows."""
-    small = queries.limit(MANY + 1).count() <= MANY
-    if not small:
-        raise ValueError(f"this tier takes up to {MANY} queries at a time: give the rest in further calls")
-    return tools.crossJoin(F.broadcast(queries))
+    """Every tool beside every query that can score it above 0; beside all of them if they are few.
+
+    tools: the normalised columns of keyword(); queries: qid, nq, toks.
+    """
+    if queries.limit(FEW + 1).count() <= FEW:
+        return tools.crossJoin(F.broadcast(queries))
+    # one text for each tool: a token hits the tool if it is in one of its fields, and none has the separator
+    fields = F.flatten(F.array("tr", F.array("cat", "descr", "uc"), "caps", "adv", F.flatten(F.transform("subs", lambda s: F.array(s["n"], s["d"])))))
+    texts = tools.select(F.col("ord").alias("text_id"), F.array_join(fields, "\x00").alias("text"))
+    of_query = queries.select("qid", F.explode("toks").alias("needle"))
+    by_token = containing(of_query.select("needle"), texts).join(of_query, "needle").select("qid", F.col("text_id").alias("ord"))
+    # the other way round: triggers and constraints within a query
+    of_tool = tools.select("ord", F.explode(F.concat("tr", "neg")).alias("needle"))
+    asked_texts = queries.select(F.col("qid").alias("text_id"), F.col("nq").alias("text"))
+    by_query = containing(of_tool.select("needle"), asked_texts).join(of_tool, "needle").select(F.col("text_id").alias("qid"), "ord")
+    # an empty trigger is in every query; a catalog hardly has one
+    empty = tools.filter(F.array_contains("tr", "")).select("ord").crossJoin(queries.select("qid")).select("qid", "ord")
+    pairs = by_token.union(by_query).union(empty).distinct()
+    return pairs.join(tools, "ord").join(queries, "qid")
 
 
 def exact(tools: DataFrame, queries: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from skarn.functions import calendar as C
 from skarn.functions import text as X
 from skarn.operators import behaviour, catalog, classify, contract, graph, jobs, synonyms, telemetry, trending
 from skarn.operators import search as S
+from skarn.operators.grams import similar_pairs
 from skarn.operators.index import SearchIndex, kept
 from skarn.plans import planner
 from skarn.plans import sql as Q
@@ -61,6 +62,26 @@ def search_negative(spark, d):
     return S.keyword(S.filtered(A.catalog(spark, d)), S.asked(one(spark, "small blue ring"))).filter("score = 0.01").select("id", "score")
 
 
+_MANY = f"q AS (SELECT qid, nq, {Q.tokens('nq')} AS toks FROM (SELECT DISTINCT p_type || ' ' || p_brand || ' ' || split_part(p_name, ' ', 1) AS qid, {Q.norm("p_type || ' ' || p_brand || ' ' || split_part(p_name, ' ', 1)")} AS nq FROM part))"
+
+
+@query(f"WITH {Q.TOOLS}, {Q.LIVE}, {_MANY}, {Q.keyword('qid, ')} SELECT qid, count(*) AS hits, CAST(count(*) FILTER (neg) AS BIGINT) AS negative, CAST(sum(CAST(floor(score * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total, max_by(id, [score, -ord]) AS best FROM l2 GROUP BY qid")
+def search_keyword_many(spark, d):
+    """The second tier for as many queries as the catalog has combinations of type, brand and first word."""
+    text = F.concat_ws(" ", "p_type", "p_brand", F.split("p_name", " ")[0])
+    asked = S.asked(A.table(spark, d, "part").select(text.alias("qid"), text.alias("query")).distinct())
+    hits = S.keyword(S.filtered(A.catalog(spark, d)), asked)
+    hundredths = F.floor(F.col("score") * 100 + 0.5).cast("long")
+    return hits.groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("score") == 0.01).alias("negative"), F.sum(hundredths).alias("total"), F.max_by("id", F.struct("score", -F.col("ord"))).alias("best"))
+
+
+@query("WITH t AS (SELECT DISTINCT p_name || ' ' || p_brand AS t FROM part) SELECT a.t AS a, b.t AS b, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 9) AS similarity FROM t a JOIN t b ON a.t < b.t WHERE 1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)) >= 0.85")
+def fuzzy_pairs(spark, d):
+    """All pairs of names that are alike, met by their rarest bigrams."""
+    names = A.table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("text"))
+    return similar_pairs(names, 0.85).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
 @query(f"WITH {Q.TOOLS}, {Q.LIVE} SELECT id, name FROM live WHERE lower(cat) = 'economy' AND language = 'brand#5'")
 def search_category_language(spark, d):
     return S.filtered(A.catalog(spark, d), "Economy", "BRAND#5").select("id", "name")
@@ -247,10 +268,18 @@ def plan_pipeline(spark, d):
     return planner.pipeline(planner.steps(A.catalog(spark, d), tasks))
 
 
-@query("SELECT * FROM (VALUES ('1', '抓取動態網頁內容|簡報', '做簡報'), ('2', 'a|b|c', '要做簡報')) t(k, segments, stripped)")
+_CUT = f"regexp_replace(regexp_replace(regexp_replace(s, '{planner.EDGES}', '', 'g'), '{planner.LEADING}', ''), '{planner.TRAILING}', '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '{planner.SEPARATOR}'), lambda s: {_CUT}), lambda s: s <> '') AS parts,
+        CASE lang WHEN 'en' THEN '我想' WHEN 'fr' THEN '請幫我　' ELSE '' END || text AS said FROM documents)
+    SELECT doc_id, CAST(CASE WHEN len(parts) > 0 THEN len(parts) ELSE 1 END AS INTEGER) AS n_segments, md5(CASE WHEN len(parts) > 0 THEN array_to_string(parts, '|') ELSE text END) AS segments,
+        md5(CASE WHEN length(trim(regexp_replace(said, '{X.SPOKEN.replace(X.SPACE, Q.SPACE)}', ''))) > 0 THEN regexp_replace(said, '{X.SPOKEN.replace(X.SPACE, Q.SPACE)}', '') ELSE said END) AS stripped FROM p""")
 def task_segments(spark, d):
-    t = spark.createDataFrame([("1", "抓取動態網頁內容並轉成簡報", "我想做簡報"), ("2", "a -> b，然後 c。", "我想要做簡報")], "k string, task string, q string")
-    return t.select("k", F.array_join(planner.segments(F.col("task")), "|").alias("segments"), X.strip_spoken(F.col("q")).alias("stripped"))
+    """Every document read as a task: its steps, and what is left of it behind a spoken opening."""
+    said = F.concat(F.when(F.col("lang") == "en", "我想").when(F.col("lang") == "fr", "請幫我　").otherwise(""), "text")
+    t = A.table(spark, d, "documents").select("doc_id", planner.segments(F.col("text")).alias("s"), X.strip_spoken(said).alias("stripped"))
+    return t.select("doc_id", F.size("s").alias("n_segments"), F.md5(F.array_join("s", "|")).alias("segments"), F.md5("stripped").alias("stripped"))
 
 
 @query(f"""WITH {Q.TOOLS}, {Q.LIVE}, {Q.query_row(planner.interview_query('widget', '1', '1', '1'))}, {Q.keyword()} SELECT id, score FROM l2""")
@@ -260,28 +289,33 @@ def interview_query(spark, d):
 
 # ---- synonyms
 
-def _zh_tools(spark):
-    rows = [("a", ["簡報", "ppt", "slides"]), ("b", ["簡報", "ppt"]), ("c", ["漏洞", "pentest"]), ("d", ["影片", "video", "mcp"])]
-    return spark.createDataFrame(rows + [(f"x{i}", ["mcp"]) for i in range(6)], "id string, triggers array<string>")
+def _zh_tools(spark, d):
+    """Catalog entries with terms in two languages, from customers: some terms are on one or two entries, some on many."""
+    c, k = A.table(spark, d, "customer"), F.col("c_custkey")
+    word = F.get(F.array(*[F.lit(w) for w in X.SUB_KEYWORDS]), F.col("c_nationkey") % len(X.SUB_KEYWORDS))
+    of = lambda n: F.expr(f"cast(c_custkey div {n} as string)")
+    terms = F.array(F.concat(word, of(16)), F.concat_ws(" ", F.lower("c_mktsegment"), of(6)), F.concat(F.lit("group "), of(50)), F.when(k <= 3, "自動化測試"), F.when(k <= 1, "知識庫"))
+    return c.select(k.cast("string").alias("id"), F.array_compact(terms).alias("triggers"))
 
 
-_ZH = """t AS (SELECT * FROM (VALUES ('a','簡報'),('a','ppt'),('a','slides'),('b','簡報'),('b','ppt'),('c','漏洞'),('c','pentest'),('d','影片'),('d','video'),('d','mcp'),
-    ('x0','mcp'),('x1','mcp'),('x2','mcp'),('x3','mcp'),('x4','mcp'),('x5','mcp')) v(id, term)),
+_WORDS = "[" + ", ".join(f"'{w}'" for w in X.SUB_KEYWORDS) + "]"
+_ZH = f"""t AS (SELECT DISTINCT id, term FROM (SELECT CAST(c_custkey AS VARCHAR) AS id, unnest([{_WORDS}[c_nationkey % {len(X.SUB_KEYWORDS)} + 1] || (c_custkey // 16), lower(c_mktsegment) || ' ' || (c_custkey // 6), 'group ' || (c_custkey // 50),
+        CASE WHEN c_custkey <= 3 THEN '自動化測試' END, CASE WHEN c_custkey <= 1 THEN '知識庫' END]) AS term FROM customer) WHERE term IS NOT NULL),
     f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
     k AS (SELECT * FROM t JOIN f USING (term) WHERE df <= 5),
-    p AS (SELECT z.term AS zh, e.term AS en, count(*) AS n FROM k z JOIN k e ON z.id = e.id WHERE regexp_matches(z.term, '[\\x{4e00}-\\x{9fff}]') AND NOT regexp_matches(e.term, '[\\x{4e00}-\\x{9fff}]') GROUP BY ALL)"""
+    p AS (SELECT z.term AS zh, e.term AS en, count(*) AS n FROM k z JOIN k e ON z.id = e.id WHERE regexp_matches(z.term, '[\\x{{4e00}}-\\x{{9fff}}]') AND NOT regexp_matches(e.term, '[\\x{{4e00}}-\\x{{9fff}}]') GROUP BY ALL)"""
 
 
 @query(f"WITH {_ZH} SELECT zh, en, n FROM p")
 def synonym_pairs(spark, d):
-    return synonyms.pairs(_zh_tools(spark))
+    return synonyms.pairs(_zh_tools(spark, d))
 
 
 @query(f"""WITH {_ZH}, l AS (SELECT zh AS term, en AS synonym FROM p UNION SELECT en, zh FROM p), g AS (SELECT term FROM l GROUP BY term HAVING count(*) BETWEEN 2 AND 8),
     w AS (SELECT * FROM l UNION SELECT a.synonym, b.synonym FROM l a JOIN l b ON a.term = b.term AND a.synonym <> b.synonym WHERE a.term IN (SELECT term FROM g)),
     r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY synonym) AS pos FROM w) SELECT term, synonym, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= 8""")
 def synonym_mine(spark, d):
-    return synonyms.mine(_zh_tools(spark))
+    return synonyms.mine(_zh_tools(spark, d))
 
 
 _ALIASES = ", ".join(f"('{a}', '{t}')" for a, t in synonyms.ALIASES.items())
@@ -296,13 +330,15 @@ _ALIASES = ", ".join(f"('{a}', '{t}')" for a, t in synonyms.ALIASES.items())
     r AS (SELECT u.term, u.synonym, row_number() OVER (PARTITION BY u.term ORDER BY coalesce(prio, 2), u.synonym) AS pos FROM u LEFT JOIN e ON u.term = e.term AND u.synonym = e.synonym)
     SELECT term, synonym, CAST(pos AS INTEGER) AS pos FROM r WHERE pos <= {synonyms.KEPT}""")
 def seed_union(spark, d):
-    return synonyms.mine(_zh_tools(spark), synonyms.seed_links(spark), synonyms.alias_table(spark))
+    return synonyms.mine(_zh_tools(spark, d), synonyms.seed_links(spark), synonyms.alias_table(spark))
 
 
-@query(f"""WITH s(term, synonym) AS (VALUES {_SEEDS}), q AS (SELECT unnest(['rag', 'sql', 'widget']) AS token) SELECT token FROM q UNION SELECT synonym FROM q JOIN s ON token = term""")
+@query(f"""WITH m AS ({ORACLE_SQL['seed_union']}), q AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS qid, lower(c_mktsegment) || ' ' || (c_custkey // 6) AS token FROM customer UNION ALL SELECT -1, unnest(['rag', 'sql', 'json', 'widget']))
+    SELECT qid, token FROM q UNION SELECT qid, lower(synonym) FROM q JOIN m ON token = term""")
 def synonym_expand(spark, d):
-    terms = spark.createDataFrame([("0", t) for t in ("rag", "sql", "widget")], "qid string, token string")
-    return S.expand(terms, synonyms.seed_links(spark)).select("token")
+    c = A.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("qid"), F.concat_ws(" ", F.lower("c_mktsegment"), F.expr("cast(c_custkey div 6 as string)")).alias("token")).distinct()
+    terms = c.union(spark.createDataFrame([(-1, t) for t in ("rag", "sql", "json", "widget")], "qid long, token string"))
+    return S.expand(terms, synonyms.mine(_zh_tools(spark, d), synonyms.seed_links(spark), synonyms.alias_table(spark)))
 
 
 # ---- telemetry and behaviour

@@ -84,10 +84,21 @@ def command_allowlist(spark, d):
     return p.select(F.col("p_partkey").alias("id"), contract.allowed_command(command).alias("allowed"))
 
 
-@query("""SELECT * FROM (VALUES ('main', true, false), ('-x', false, false), ('a/../b', false, false), ('https://github.com/a/b', true, true), ('https://github.com/a/b.git', true, true), ('http://github.com/a/b', true, false)) t(v, ref, repo)""")
+_REFS = "[p, '-' || p, p || '/../x', 'v/' || p, '']"
+_URLS = "[url, replace(url, 'http://', 'https://'), 'https://github.com/' || p, 'https://github.com/o/r' || page_id, 'https://github.com/o/r' || page_id || '.git', 'https://github.com/o/r' || page_id || '/tree/x']"
+
+
+@query(f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+/(.*)$', 1) AS p FROM pages), r AS (SELECT page_id, unnest({_REFS}) AS v FROM u), l AS (SELECT page_id, unnest({_URLS}) AS v FROM u)
+    SELECT page_id, 'ref' AS kind, v, v <> '' AND v NOT LIKE '-%' AND NOT list_contains(string_split(v, '/'), '..') AS safe FROM r UNION ALL SELECT page_id, 'repository', v, regexp_matches(v, '{contract.REPO_URL}') FROM l""")
 def safe_references(spark, d):
-    t = spark.createDataFrame([(v,) for v in ("main", "-x", "a/../b", "https://github.com/a/b", "https://github.com/a/b.git", "http://github.com/a/b")], "v string")
-    return t.select("v", contract.safe_ref(F.col("v")).alias("ref"), contract.safe_repo_url(F.col("v")).alias("repo"))
+    """Paths of pages as references and their addresses as repositories: which of them a command may be given."""
+    p = A.table(spark, d, "pages").select("page_id", "url", F.regexp_extract("url", "^https?://[^/]+/(.*)$", 1).alias("p"))
+    say = lambda *parts: F.concat(*[F.lit(x) if x.startswith(("-", "/", "v/", "https", ".git")) else F.col(x).cast("string") for x in parts])
+    refs = F.array(F.col("p"), say("-", "p"), say("p", "/../x"), say("v/", "p"), F.lit(""))
+    base = ("https://github.com/o/r", "page_id")
+    urls = F.array(F.col("url"), F.replace("url", F.lit("http://"), F.lit("https://")), say("https://github.com/", "p"), say(*base), say(*base, ".git"), say(*base, "/tree/x"))
+    r = p.select("page_id", F.lit("ref").alias("kind"), F.explode(refs).alias("v")).withColumn("safe", contract.safe_ref(F.col("v")))
+    return r.union(p.select("page_id", F.lit("repository").alias("kind"), F.explode(urls).alias("v")).withColumn("safe", contract.safe_repo_url(F.col("v"))))
 
 
 # ---- classification
@@ -153,10 +164,14 @@ def resource_url(spark, d):
     return A.table(spark, d, "pages").select("page_id", classify.resource_kind(F.concat_ws(" ", "url", "html"), F.col("page_id") % 4).alias("kind"))
 
 
-@query("""SELECT * FROM (VALUES ('瀏覽器自動化', 'URL / 網址清單'), ('AI 代理', 'Markdown / Context Prompt'), ('文件生產力', 'Markdown / JSON Data'), ('測試', '測試腳本 / 自動化指令'), ('ECONOMY', '原始數據 / 指令 Prompt')) t(category, input_format)""")
+_FORMAT = lambda i: "CASE " + " ".join(f"WHEN regexp_matches(lower(category), '{r[0]}') THEN '{r[i]}'" for r in classify.FORMATS) + f" ELSE '{classify.DEFAULT_FORMAT[i - 1]}' END"
+
+
+@query(f"WITH c AS (SELECT DISTINCT [{', '.join(repr(w) for w in X.SUB_KEYWORDS)}][c_nationkey % {len(X.SUB_KEYWORDS)} + 1] || ' ' || c_mktsegment AS category FROM customer) SELECT category, {_FORMAT(1)} AS input_format, {_FORMAT(2)} AS output_format FROM c")
 def io_format(spark, d):
-    t = spark.createDataFrame([(c,) for c in ("瀏覽器自動化", "AI 代理", "文件生產力", "測試", "ECONOMY")], "category string")
-    return t.select("category", classify.formats(F.col("category"))["input_format"].alias("input_format"))
+    word = F.get(F.array(*[F.lit(w) for w in X.SUB_KEYWORDS]), F.col("c_nationkey") % len(X.SUB_KEYWORDS))
+    c = A.table(spark, d, "customer").select(F.concat_ws(" ", word, "c_mktsegment").alias("category")).distinct()
+    return c.select("category", classify.formats(F.col("category")).alias("f")).select("category", "f.input_format", "f.output_format")
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'python:3.10-slim' WHEN 1 THEN 'node:18-alpine' ELSE 'ubuntu:22.04' END AS image, CASE p_partkey % 3 WHEN 1 THEN 'bridge' ELSE 'none' END AS network FROM part")
@@ -194,9 +209,12 @@ def star_format(spark, d):
     return A.table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.star_count(F.col("p_partkey") * 7).alias("stars"))
 
 
-@query("SELECT * FROM (VALUES ('#ffffff', '#000000'), ('#000000', '#ffffff'), ('#0284c7', '#ffffff'), ('#a8f0c0', '#000000'), ('bad', '#ffffff')) t(color, text)")
+@query("""WITH c AS (SELECT p_partkey, CAST(p_partkey * 7919 % 16777216 AS BIGINT) AS x, p_size FROM part)
+    SELECT p_partkey, CASE WHEN p_size = 1 THEN '#fff' ELSE '#' || printf('%06x', x) END AS color,
+        CASE WHEN p_size <> 1 AND (0.299 * (x // 65536) + 0.587 * (x // 256 % 256) + 0.114 * (x % 256)) / 255 > 0.6 THEN '#000000' ELSE '#ffffff' END AS text FROM c""")
 def color_contrast(spark, d):
-    return spark.createDataFrame([(c,) for c in ("#ffffff", "#000000", "#0284c7", "#a8f0c0", "bad")], "color string").select("color", X.contrast(F.col("color")).alias("text"))
+    c = A.table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") == 1, "#fff").otherwise(F.format_string("#%06x", (F.col("p_partkey") * 7919 % 16777216).cast("long"))).alias("color"))
+    return c.withColumn("text", X.contrast(F.col("color")))
 
 
 @query("SELECT n_name AS category, 'hsl(' || CAST(floor((n_nationkey * 137.5 + 200) % 360) AS BIGINT) || ', 65%, 48%)' AS color FROM nation")
@@ -288,9 +306,18 @@ def skill_union(spark, d):
     return catalog.union_skills(a, b, 20)
 
 
-@query("SELECT * FROM (VALUES ('acme/kit@web-search', 'web-search', 'acme/kit', CAST(12 AS BIGINT)), ('o/r@x', 'x', 'o/r', CAST(1 AS BIGINT))) t(id, name, source, installs)")
+_SKILLS = r"""t AS (SELECT c_custkey, 'found:' || chr(10) || ' ' || lower(c_mktsegment) || '/kit' || c_nationkey || '@tool-' || c_custkey || '  ' || floor(abs(c_acctbal)) :: BIGINT || ' installs' || chr(10) || 'noise@' || c_name || ' 3 installs' || chr(10) || 'o/r@' || c_name || '   1 install' AS text FROM customer)"""
+
+
+@query("WITH " + _SKILLS + r""", m AS (SELECT c_custkey, unnest(regexp_extract_all(text, '(\w+/\w+)@([\w-]+)[ \t]+(\d+)[ \t]+installs?')) AS l FROM t)
+    SELECT c_custkey, regexp_extract(l, '^([^ ]+)', 1) AS id, regexp_extract(l, '@([\w-]+)', 1) AS name, regexp_extract(l, '^([^@]+)@', 1) AS source, CAST(regexp_extract(l, '(\d+)\s+installs?$', 1) AS BIGINT) AS installs FROM m""")
 def skill_parse(spark, d):
-    return catalog.parse_skills(spark.createDataFrame([("found:\n acme/kit@web-search  12 installs\nnoise\no/r@x 1 install",)], "text string"))
+    """What a command-line search prints for each customer, as rows: lines of another form are noise."""
+    lines = F.concat(
+        F.lit("found:\n "), F.lower("c_mktsegment"), F.lit("/kit"), F.col("c_nationkey").cast("string"), F.lit("@tool-"), F.col("c_custkey").cast("string"), F.lit("  "), F.floor(F.abs("c_acctbal")).cast("string"),
+        F.lit(" installs\nnoise@"), "c_name", F.lit(" 3 installs\no/r@"), "c_name", F.lit("   1 install"),
+    )
+    return catalog.parse_skills(A.table(spark, d, "customer").select("c_custkey", lines.alias("text")))
 
 
 @query("""WITH l AS (SELECT trim(CASE WHEN page_id % 5 = 0 THEN '# ' || url WHEN page_id % 7 = 0 THEN '' ELSE url END) AS url, page_id AS pos FROM pages UNION ALL SELECT url, page_id + 100000 FROM pages)
@@ -403,9 +430,10 @@ def job_cancel(spark, d):
     return jobs.cancel(_jobs(spark, d), spark.range(0, 40000, 997).select(F.col("id").alias("job_id")))
 
 
-@query("SELECT * FROM (VALUES (1, CAST(120000 AS BIGINT)), (2, CAST(30000 AS BIGINT)), (3, CAST(600000 AS BIGINT))) t(k, ms)")
+@query("SELECT o_orderkey AS job_id, CAST(least(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_custkey % 900 END * 1000, 120000), 600000) AS BIGINT) AS ms FROM orders")
 def job_timeout(spark, d):
-    return spark.createDataFrame([(1, None), (2, 30), (3, 999)], "k int, s int").select("k", jobs.timeout_ms(F.col("s")).alias("ms"))
+    o = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_custkey") % 900).alias("s"))
+    return o.select("job_id", jobs.timeout_ms(F.col("s")).alias("ms"))
 
 
 # ---- extensions
@@ -460,11 +488,20 @@ def scanned_tools(spark, d):
     return s.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("k"), "id", "method", "status")
 
 
-@query("""SELECT * FROM (VALUES (1, '2026-W32', 'a/b'), (2, '2026-W31', 'c/d')) t(k, week, first)""")
+@query(f"""WITH {Q.SNAPS}, r AS (SELECT week, full_name, row_number() OVER (PARTITION BY week ORDER BY stars DESC, full_name) AS rank FROM snaps)
+    SELECT week AS doc, CAST(week[8:8] AS INTEGER) < 9 AS ok, CASE WHEN CAST(week[8:8] AS INTEGER) < 9 THEN week END AS week, max(CASE WHEN CAST(week[8:8] AS INTEGER) < 9 AND rank = 1 THEN full_name END) AS first, CAST(CASE WHEN CAST(week[8:8] AS INTEGER) < 9 THEN count(*) END AS INTEGER) AS n_items FROM r GROUP BY week""")
 def leaderboard_fields(spark, d):
-    rows = [(1, '{"lastWeek":{"week":"2026-W32","items":[{"rank":1,"fullName":"a/b"}]},"week":"old"}'), (2, '{"week":"2026-W31","items":[{"rank":1,"fullName":"c/d"}]}')]
-    f = connectors.leaderboard_fields(F.col("doc"))
-    return spark.createDataFrame(rows, "k int, doc string").select("k", f["week"].alias("week"), F.get(f["items"], F.lit(0))["fullName"].alias("first"))
+    """Saved leaderboards of every week, in the newer form, the older one, or cut short: weeks by their last digit."""
+    from pyspark.sql import Window
+
+    s = A.snapshots(spark, d).withColumn("rank", F.row_number().over(Window.partitionBy("week").orderBy(F.desc("stars"), "full_name")))
+    items = F.array_sort(F.collect_list(F.struct("rank", F.col("full_name").alias("fullName"), F.col("stars").alias("delta"))))  # a nation each
+    w = s.groupBy("week").agg(items.alias("items"))
+    old, digit = F.to_json(F.struct("week", "items")), F.substring("week", 8, 1).cast("int")
+    new = F.to_json(F.struct(F.struct("week", "items").alias("lastWeek"), F.lit("2000-W01").alias("week"), F.lit(3).alias("version")))
+    doc = F.when(digit < 5, new).when(digit < 9, old).otherwise(F.substring(old, 1, 20))
+    f = w.select(F.col("week").alias("doc"), connectors.leaderboard_fields(doc).alias("f"))
+    return f.select("doc", "f.ok", "f.week", F.get("f.items", F.lit(0))["fullName"].alias("first"), F.when(F.col("f.ok"), F.size("f.items")).alias("n_items"))
 
 
 _WTD = f"WITH wtd AS ({ORACLE_SQL['week_to_date']})"

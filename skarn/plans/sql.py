@@ -63,18 +63,18 @@ def query_row(text: str) -> str:
     return f"q AS (SELECT {n} AS nq, {tokens(n)} AS toks)"
 
 
-def keyword() -> str:
-    """Second-tier scores of live over q, as table l2 (id, ord, score, neg)."""
+def keyword(of: str = "") -> str:
+    """Second-tier scores of live over q, as table l2 (id, ord, score, neg); of: a column of q that tells queries apart, and a comma."""
     hits = lambda c, least=2: f"len(list_filter(toks, lambda k: length(k) >= {least} AND contains({c}, k)))"
     trigger = f"list_sum(list_transform(triggers, lambda g: (CASE WHEN contains(nq, {norm('g')}) THEN 3.0 ELSE 0.0 END) + 1.5 * len(list_filter(toks, lambda k: length(k) >= 2 AND contains({norm('g')}, k)))))"
     each = lambda c: f"coalesce(list_sum(list_transform({c}, lambda g: len(list_filter(toks, lambda k: length(k) >= 2 AND contains({norm('g')}, k))))), 0)"
     union = f"len(list_filter(toks, lambda k: (length(k) >= 2 AND contains({norm('p_name')}, k)) OR (length(k) >= 3 AND contains({norm('p_type')}, k))))"
     sub = f"CASE WHEN has_sub AND {union} >= (CASE WHEN len(toks) > 1 THEN len(toks) ELSE 1 END) THEN least(6.0, 1.5 * {hits(norm('p_name'))} + {hits(norm('p_type'), 3)}) ELSE 0.0 END"
-    return f"""s AS (SELECT id, ord, {trigger} + 2 * {hits(norm('cat'))} + {hits(norm('description'))} + 1.5 * {each('capabilities')} + 2 * {hits(norm('use_case'))} + 2 * {each('advantages')} + {sub} AS raw,
+    return f"""s AS (SELECT {of}id, ord, {trigger} + 2 * {hits(norm('cat'))} + {hits(norm('description'))} + 1.5 * {each('capabilities')} + 2 * {hits(norm('use_case'))} + 2 * {each('advantages')} + {sub} AS raw,
             len(list_filter(negs, lambda g: length({norm('g')}) >= 2 AND contains(nq, {norm('g')}))) > 0 AS neg,
             4.5 * len(triggers) + 7 + 2 * len(capabilities) + CASE WHEN has_sub THEN 6 ELSE 0 END AS most,
             len(list_filter(toks, lambda k: length(k) >= 2 AND (contains({norm('cat')}, k) OR contains({norm('description')}, k)))) AS n_matched FROM live, q),
-        l2 AS (SELECT id, ord, CASE WHEN neg THEN 0.01 ELSE {round_to('least(raw / most, 0.99)', 2)} END AS score, neg, n_matched FROM s WHERE raw > 0 OR neg)"""
+        l2 AS (SELECT {of}id, ord, CASE WHEN neg THEN 0.01 ELSE {round_to('least(raw / most, 0.99)', 2)} END AS score, neg, n_matched FROM s WHERE raw > 0 OR neg)"""
 
 
 def semantic(docs: str, synonyms: str = "") -> str:

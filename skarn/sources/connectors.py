@@ -100,7 +100,11 @@ def scanned_tool(meta: DataFrame) -> DataFrame:
 
 
 def leaderboard_fields(doc: Column) -> Column:
-    """The newer field names of a saved leaderboard, else the older ones at its top level."""
-    schema = "struct<lastWeek:struct<week:string,items:array<struct<rank:int,fullName:string,delta:bigint>>>,week:string,items:array<struct<rank:int,fullName:string,delta:bigint>>>"
-    d = F.from_json(doc, schema)
-    return F.struct(F.coalesce(d["lastWeek"]["week"], d["week"]).alias("week"), F.coalesce(d["lastWeek"]["items"], d["items"]).alias("items"))
+    """The newer field names of a saved leaderboard, else the older ones at its top level; `ok` is false for a text that is no JSON.
+
+    Documents changed their shape over time, so they are read as variants: no schema fixes which fields there are.
+    """
+    v = F.try_parse_json(doc)
+    items = "array<struct<rank:int,fullName:string,delta:bigint>>"
+    either = lambda path, kind: F.coalesce(F.try_variant_get(v, f"$.lastWeek.{path}", kind), F.try_variant_get(v, f"$.{path}", kind))
+    return F.struct(v.isNotNull().alias("ok"), either("week", "string").alias("week"), either("items", items).alias("items"))
