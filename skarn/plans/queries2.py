@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -436,6 +437,46 @@ def job_timeout(spark, d):
     return o.select("job_id", jobs.timeout_ms(F.col("s")).alias("ms"))
 
 
+_JOB_LOG = """o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS s, epoch_ms(o_orderdate) + (o_orderkey % 3600) * 1000 AS created FROM orders),
+    j AS (SELECT k, created, CASE WHEN s <> 'P' OR k % 5 > 0 THEN created + 10000 END AS started, least(CASE WHEN k % 2 = 0 THEN c % 700 * 1000 ELSE 120000 END, 600000) AS allowed,
+        CASE s WHEN 'F' THEN created + 10000 + c % 900 * 1000 WHEN 'O' THEN created + c % 250 * 1000 END AS ended, CASE WHEN s = 'O' THEN 'cancelled' WHEN k % 4 = 0 THEN 'failed' ELSE 'completed' END AS how FROM o)"""
+
+
+def _job_events(spark, d):
+    """A log of job events from orders: some end in time, some too late, some never, some are cancelled before they start."""
+    k, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    created = F.unix_millis(F.col("o_orderdate").cast("timestamp")) + (k % 3600) * 1000
+    nothing = F.lit(None).cast("long")
+    event = lambda kind, ms, allowed=nothing, code=F.lit(None).cast("int"): F.struct(F.lit(kind).alias("kind"), ms.alias("ms"), allowed.cast("long").alias("timeout_ms"), code.cast("int").alias("exit_code"))
+    started = event("started", created + 10_000, jobs.timeout_ms(F.when(k % 2 == 0, c % 700)))
+    ends = [F.when(s == "F", event("exited", created + 10_000 + c % 900 * 1000, code=F.when(k % 4 == 0, 1).otherwise(0))), F.when(s == "O", event("cancelled", created + c % 250 * 1000))]
+    log = F.array_compact(F.array(event("created", created), F.when((s != "P") | (k % 5 > 0), started), *ends))
+    return A.table(spark, d, "orders").select(k.alias("job_id"), F.explode(log).alias("e")).select("job_id", F.timestamp_millis("e.ms").alias("ts"), "e.kind", "e.timeout_ms", "e.exit_code")
+
+
+@query(f"""WITH {_JOB_LOG} SELECT k AS job_id, CASE WHEN started IS NULL THEN 'pending' WHEN ended < started OR ended <= started + allowed THEN how ELSE 'timeout' END AS state,
+    CAST(CASE WHEN started IS NULL THEN created WHEN ended < started OR ended <= started + allowed THEN ended ELSE started + allowed END AS BIGINT) AS at FROM j""")
+def job_state_stream(spark, d):
+    """Final states of jobs whose log arrives in two parts, each read by a run of the stream of its own; timers end what has no further event."""
+    from skarn.streaming import jobs as J
+
+    at = f"{scratch(spark)}/jobs-{uuid.uuid4().hex}"
+    log = _job_events(spark, d)
+    first, last = log.agg(F.min("ts"), F.max("ts")).first()
+    step = (last - first) / 2
+    log.filter("false").write.parquet(f"{at}/log")
+    stream = J.transitions(spark.readStream.schema(log.schema).parquet(f"{at}/log"))
+    for i in range(2):
+        until = F.col("ts") < F.lit(first + step) if i == 0 else F.lit(True)
+        log.filter((F.col("ts") >= F.lit(first + step * i)) & until).write.mode("append").parquet(f"{at}/log")
+        J.drain(stream, at)
+    # time goes on without any job: all deadlines pass
+    end = log.limit(1).select(F.lit(-1).cast("long").alias("job_id"), (F.lit(last) + F.expr("interval 1 day")).alias("ts"), F.lit("created").alias("kind"), "timeout_ms", "exit_code")
+    end.write.mode("append").parquet(f"{at}/log")
+    J.drain(stream, at)
+    return J.latest(spark, at).filter("job_id >= 0")
+
+
 # ---- extensions
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cos FROM embeddings, q ORDER BY cos DESC, vec_id LIMIT 20""")
