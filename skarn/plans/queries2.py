@@ -477,6 +477,28 @@ def job_state_stream(spark, d):
     return J.latest(spark, at).filter("job_id >= 0")
 
 
+@query(f"""WITH RECURSIVE {Q.LOG}, b AS (SELECT DISTINCT CAST(date_trunc('week', ts) AS TIMESTAMP) AS w, user_query AS k FROM log WHERE type = 'search'),
+    st AS (SELECT k, min(w) AS w FROM b GROUP BY k UNION ALL SELECT b.k, min(b.w) AS w FROM st JOIN b ON b.k = st.k AND b.w >= st.w + INTERVAL 15 DAY GROUP BY b.k, st.w)
+    SELECT CAST(w AS DATE) AS week, count(*) AS asked, count(*) - count(st.k) AS hits, count(st.k) AS misses FROM b LEFT JOIN st USING (k, w) GROUP BY w""")
+def cached_searches(spark, d):
+    """A search log by weeks through a kept cache whose entries serve for 15 days: what it could answer in each week."""
+    from skarn.operators.cache import KEY, ResultCache
+
+    log = A.behaviour(spark, d).filter("type = 'search'").select(F.date_trunc("week", "ts").alias("week"), F.lit("v1").alias("fingerprint"), F.col("user_query").alias("query"), F.lit("").alias("filters")).distinct()
+    at = f"{scratch(spark)}/cache-{uuid.uuid4().hex}"
+    log.write.parquet(f"{at}/log")
+    log = spark.read.parquet(f"{at}/log")
+    cache, out = ResultCache(spark, f"{at}/cache", hours=15 * 24, most=1 << 40), None
+    for (week,) in log.select("week").distinct().orderBy("week").collect():
+        asked = log.filter(F.col("week") == F.lit(week))
+        missed = cache.misses(asked, week).withColumn("results", F.concat(F.lit("results of "), "query"))
+        cache = cache.put(missed, week)
+        stored = spark.read.parquet(f"{at}/cache/batch-{cache.batches[-1]}").select(*KEY, F.lit(1).alias("new"))
+        one = asked.join(stored, KEY, "left").groupBy("week").agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("new").isNull()).alias("hits"), F.count("new").alias("misses"))
+        out = one if out is None else out.union(one)
+    return out.withColumn("week", F.to_date("week"))
+
+
 # ---- extensions
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cos FROM embeddings, q ORDER BY cos DESC, vec_id LIMIT 20""")
