@@ -499,6 +499,29 @@ def cached_searches(spark, d):
     return out.withColumn("week", F.to_date("week"))
 
 
+@query("""WITH e AS (SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS w, ts, event_id FROM events), k AS (SELECT w, count(*) AS n FROM e WHERE NOT (w = (SELECT min(w) FROM e) AND event_id % 7 = 0) GROUP BY w)
+    SELECT 'running' AS output, CAST(w AS DATE) AS week_start, n FROM k UNION ALL SELECT 'closed', CAST(w AS DATE), n FROM k WHERE w + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def weekly_stream(spark, d):
+    """Weeks of the event log read as a stream: running counts by update output, closed weeks by append output.
+
+    Every seventh event of the first week arrives after that week is closed; both outputs leave it out.
+    """
+    from skarn.streaming import streams
+
+    at = f"{scratch(spark)}/weeks-{uuid.uuid4().hex}"
+    log = A.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    first = log.agg(F.min(F.date_trunc("week", "ts"))).first()[0]
+    held = (F.date_trunc("week", "ts") == F.lit(first)) & (F.col("event_id") % 7 == 0)
+    log.filter("false").write.parquet(f"{at}/log")
+    weeks = streams.weekly(spark.readStream.schema(log.schema).parquet(f"{at}/log"))
+    for part in (~held, held):
+        log.filter(part).write.mode("append").parquet(f"{at}/log")
+        for mode in ("update", "append"):
+            streams.into_batches(weeks, f"{at}/{mode}", mode)
+    said = [streams.newest(spark, f"{at}/{mode}", "week_start timestamp, n long", "week_start").withColumn("output", F.lit(name)) for mode, name in (("update", "running"), ("append", "closed"))]
+    return said[0].union(said[1]).select("output", F.to_date("week_start").alias("week_start"), "n")
+
+
 # ---- extensions
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cos FROM embeddings, q ORDER BY cos DESC, vec_id LIMIT 20""")

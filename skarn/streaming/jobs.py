@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skarn.operators.jobs import FINAL
+from skarn.streaming.streams import into_batches
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time for which an ended job is remembered, so that late events of it are known as such; its state goes then.
@@ -83,14 +84,13 @@ def transitions(events: DataFrame, late: str = "0 seconds") -> DataFrame:
 
 
 def drain(stream: DataFrame, at: str) -> None:
-    """Runs a stream of transitions over all input there is; what a batch gives replaces what the same batch gave before."""
+    """Runs a stream of transitions over all input there is."""
     spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, PROVIDER)
     try:
-        keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{at}/batches/number={number}")
-        stream.writeStream.outputMode("append").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+        into_batches(stream, at, "append")
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,22 @@ def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/result")
 
 
+def into_batches(stream: DataFrame, at: str, mode: str) -> None:
+    """Runs a stream over all input there is into at/batches/number=N. A batch that is run again after a failure replaces what it gave before."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/batches/number={number}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+
+
+def newest(spark: SparkSession, at: str, schema: str, key: str) -> DataFrame:
+    """Of each key the row of the last batch that has it: what an update stream says now."""
+    every = spark.read.schema(f"{schema}, number long").parquet(f"{at}/batches")
+    rest = [c for c in every.columns if c not in (key, "number")]
+    return every.groupBy(key).agg(F.max_by(F.struct(*rest), "number").alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def weekly(events: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts in ISO weeks (Monday, UTC): append output gives closed weeks, update output also the running one."""
     w = F.window("ts", "7 days", "7 days", "4 days")

@@ -124,3 +124,39 @@ def test_windows_and_bursts(spark):
     assert sorted((str(r["week_start"])[:10], r["n"]) for r in streams.weekly(days).collect()) == [("2026-07-27", 1), ("2026-08-03", 2)]
     old = spark.createDataFrame([(1,), (2,)], "k int").select("k", F.when(F.col("k") == 1, t("2026-01-01 00:00:00")).otherwise(t("2026-01-01 00:10:00")).alias("timestamp"))
     assert [r["k"] for r in streams.unexpired(old, "2026-01-01 00:10:30", 60).collect()] == [2]
+
+
+def test_weekly_stream(spark, tmp_path):
+    """Running and closed weeks; a late event of a closed week is dropped; a batch that is run again changes nothing."""
+    import datetime as dt
+    import os
+
+    from skarn.streaming import streams
+
+    at = str(tmp_path)
+    day = lambda n, k=1: [(dt.datetime(2026, 1, 5) + dt.timedelta(days=n, hours=i),) for i in range(k)]
+    spark.createDataFrame([], "ts timestamp").write.parquet(f"{at}/log")
+    weeks = streams.weekly(spark.readStream.schema("ts timestamp").parquet(f"{at}/log"))
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "ts timestamp").coalesce(1).write.mode("append").parquet(f"{at}/log")
+        return said()
+
+    def said():
+        out = []
+        for mode in ("update", "append"):
+            streams.into_batches(weeks, f"{at}/{mode}", mode)
+            n = streams.newest(spark, f"{at}/{mode}", "week_start timestamp, n long", "week_start")
+            out.append({(r["week_start"] - dt.datetime(2026, 1, 5)).days // 7: r["n"] for r in n.collect()})
+        return out
+
+    assert arrive(day(0, 3) + day(6, 2)) == [{0: 5}, {}]
+    assert arrive(day(7, 4)) == [{0: 5, 1: 4}, {}]  # the week is over, but a day of grace is not
+    assert arrive(day(2, 1) + day(9, 1)) == [{0: 6, 1: 5}, {0: 6}]
+    assert arrive(day(3, 5) + day(10, 1)) == [{0: 6, 1: 6}, {0: 6}]  # too late
+    for mode in ("update", "append"):
+        done = f"{at}/{mode}/progress/commits"
+        last = max(int(f) for f in os.listdir(done) if f.isdigit())
+        os.remove(f"{done}/{last}")
+        os.remove(f"{done}/.{last}.crc")
+    assert said() == [{0: 6, 1: 6}, {0: 6}]
