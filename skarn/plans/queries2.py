@@ -522,6 +522,35 @@ def weekly_stream(spark, d):
     return said[0].union(said[1]).select("output", F.to_date("week_start").alias("week_start"), "n")
 
 
+@query(f"""WITH {Q.SNAPS}, h AS (SELECT * FROM snaps WHERE week <> '2000-W10'), lv AS (SELECT full_name, stars + 1 AS stars FROM snaps WHERE week = '2000-W10')
+    SELECT week, full_name, stars FROM h UNION ALL SELECT '2000-W10', full_name, coalesce(lv.stars, m.stars) FROM (SELECT full_name, max_by(stars, week) AS stars FROM h WHERE week < '2000-W10' GROUP BY 1) m FULL JOIN lv USING (full_name)""")
+def weekly_run(spark, d):
+    """All nine steps over kept snapshots, stopped before the last three and run again: the snapshots of every week afterwards."""
+    from skarn.operators.weekly_run import WeeklyRun
+
+    week, root = "2000-W10", f"{scratch(spark)}/weekly-{uuid.uuid4().hex}"
+    A.snapshots(spark, d).write.partitionBy("week").parquet(f"{root}/snapshots")
+    bare = F.lower(F.regexp_replace("full_name", "_", "-"))
+    live = trending.of_week(spark.read.schema("full_name string, stars long, week string").parquet(f"{root}/snapshots"), week).select(
+        "full_name", (F.col("stars") + 1).alias("stars"), F.lit(0).alias("query_idx"), F.regexp_extract("full_name", r"(\d+)$", 1).cast("int").alias("item_idx"), F.lit(False).alias("fork"),
+        F.lit("1999-01-01").cast("date").alias("created_at"), F.concat(F.lit("https://h/"), bare).alias("url"), F.lit("owner").alias("owner"), bare.alias("bare"),
+    )
+    nation = A.table(spark, d, "nation").filter("n_regionkey = 0")
+    registry = nation.select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_name").alias("full_name"), F.concat(F.lit("https://r/"), "n_name").alias("url"))
+
+    def stop(step):
+        if step == "candidates":
+            raise InterruptedError(step)
+
+    try:
+        WeeklyRun(spark, root, week).run(registry, live, "2000-W09", "2000-W08", "2000-03-12", stop)
+    except InterruptedError:
+        pass
+    run = WeeklyRun(spark, root, week)
+    run.run(registry, live, "2000-W09", "2000-W08", "2000-03-12")
+    return run.snapshots().select("week", "full_name", "stars")
+
+
 # ---- extensions
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, floor(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) * 1e6 + 0.5) / 1e6 AS cos FROM embeddings, q ORDER BY cos DESC, vec_id LIMIT 20""")
