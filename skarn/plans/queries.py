@@ -259,13 +259,13 @@ def _planned(steps):
 @query(f"SELECT *, '{classify.DEFAULT_FORMAT[0]}' AS input_format, '{classify.DEFAULT_FORMAT[1]}' AS output_format FROM ({_planned(_STEPS)})")
 def plan_steps(spark, d):
     tasks = spark.createDataFrame([(1, "抓取 red widget 然後 small ring，blue bolt"), (2, "steel nut"), (3, "解析 economy brand 並轉成 promo")], "task_id long, task string")
-    return planner.steps(A.catalog(spark, d), tasks).withColumn("alternatives", F.concat_ws(",", "alternatives"))
+    return planner.steps(A.catalog(spark, d), tasks, synonyms=synonyms.seed_links(spark)).withColumn("alternatives", F.concat_ws(",", "alternatives"))
 
 
 @query(f"SELECT task_id, count(*) AS n_steps, string_agg(coalesce(tool, '?'), ' -> ' ORDER BY step) AS pipeline FROM ({_planned(_STEPS[:4])}) GROUP BY task_id")
 def plan_pipeline(spark, d):
     tasks = spark.createDataFrame([(1, "抓取 red widget 然後 small ring，blue bolt"), (2, "steel nut")], "task_id long, task string")
-    return planner.pipeline(planner.steps(A.catalog(spark, d), tasks))
+    return planner.pipeline(planner.steps(A.catalog(spark, d), tasks, synonyms=synonyms.seed_links(spark)))
 
 
 _CUT = f"regexp_replace(regexp_replace(regexp_replace(s, '{planner.EDGES}', '', 'g'), '{planner.LEADING}', ''), '{planner.TRAILING}', '')"

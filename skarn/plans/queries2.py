@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as X
 from skarn.functions import calendar
-from skarn.operators import catalog, classify, contract, graph, jobs, reports, telemetry, trending
+from skarn.operators import catalog, classify, contract, graph, jobs, reports, synonyms, telemetry, trending
 from skarn.plans import sql as Q
 from skarn.plans.queries import ORACLE_SQL, query, scratch, week_to_date
 from skarn.sources import adapters as A
@@ -733,4 +733,4 @@ def compare_tools(spark, d):
     from skarn.operators import search
     from skarn.plans.queries import one
 
-    return search.compare(A.catalog(spark, d), one(spark, "steel widget zinc")).select("rank", "id", "percent", "name", "url", "stars", "fits")
+    return search.compare(A.catalog(spark, d), one(spark, "steel widget zinc"), synonyms=synonyms.seed_links(spark)).select("rank", "id", "percent", "name", "url", "stars", "fits")
