@@ -100,7 +100,12 @@ def adopt(links: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def mine(tools: DataFrame, seeds: DataFrame | None = None, aliases: DataFrame | None = None, least: int = 1) -> DataFrame:
     """(term, synonym, pos): at most KEPT synonyms for each term, mined ones in order of their name before seeds."""
-    p = pairs(tools).filter(F.col("n") >= least)
+    return mined(pairs(tools), seeds, aliases, least)
+
+
+def mined(pairs_: DataFrame, seeds: DataFrame | None = None, aliases: DataFrame | None = None, least: int = 1) -> DataFrame:
+    """As mine, from counted pairs (zh, en, n)."""
+    p = pairs_.filter(F.col("n") >= least)
     links = widen(p.select(F.col("zh").alias("term"), F.col("en").alias("synonym")).union(p.select("en", "zh")).distinct()).withColumn("prio", F.lit(0))
     if seeds is not None:
         links = links.union(seeds.select("term", "synonym", F.lit(1)))

@@ -333,6 +333,18 @@ def seed_union(spark, d):
     return synonyms.mine(_zh_tools(spark, d), synonyms.seed_links(spark), synonyms.alias_table(spark))
 
 
+@query(ORACLE_SQL["seed_union"])
+def synonym_increments(spark, d):
+    """The same from counts that are kept: entries put with other terms, put right, more put and removed again."""
+    from skarn.operators.mining import MinedTerms
+
+    tools = _zh_tools(spark, d)
+    turned = tools.withColumn("triggers", F.when(F.length("id") % 2 == 0, F.transform("triggers", lambda t: F.concat(t, F.lit("測")))).otherwise(F.col("triggers")))
+    more = tools.select(F.concat(F.lit("x"), "id").alias("id"), "triggers")
+    kept_ = MinedTerms(spark, f"{scratch(spark)}/mined-{uuid.uuid4().hex}").put(turned).put(more).put(tools.filter(F.length("id") % 2 == 0)).remove(more)
+    return kept_.mine(synonyms.seed_links(spark), synonyms.alias_table(spark))
+
+
 @query(f"""WITH m AS ({ORACLE_SQL['seed_union']}), q AS (SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS qid, lower(c_mktsegment) || ' ' || (c_custkey // 6) AS token FROM customer UNION ALL SELECT -1, unnest(['rag', 'sql', 'json', 'widget']))
     SELECT qid, token FROM q UNION SELECT qid, lower(synonym) FROM q JOIN m ON token = term""")
 def synonym_expand(spark, d):
