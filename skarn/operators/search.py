@@ -134,7 +134,7 @@ def cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("qid", F.explode("toks").alias("token")).join(idf, "token", "left").select("qid", "token", F.coalesce("idf", F.lit(1.0)).alias("qw"))
     qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     dot = terms.join(q, "token").groupBy("qid", "id").agg(F.sum(F.col("qw") * F.col("qw")).alias("dot"))
-    return dot.join(length, "id").join(F.broadcast(qn), "qid").select("qid", "id", F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("cos"))
+    return dot.join(length, "id").join(qn, "qid").select("qid", "id", F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)).alias("cos"))
 
 
 def dice(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def reranked(hits: DataFrame, tools: DataFrame, queries: DataFrame) -> DataFrame
         "id", norm(F.col("language")).alias("tl"), F.lower(F.coalesce("useCase", F.lit(""))).alias("uc"), F.lower(F.coalesce("description", F.lit(""))).alias("descr"),
         F.lower(F.concat_ws(" ", "category")).alias("cat"), F.col("negativeConstraints").alias("negs"), F.col("stars"),
     )
-    x = hits.join(t, "id").join(F.broadcast(queries.select("qid", context(F.col("nq")).alias("c"))), "qid")
+    x = hits.join(t, "id").join(queries.select("qid", context(F.col("nq")).alias("c")), "qid")
     lang, sc = F.col("c.language"), lambda s: F.array_contains("c.scenarios", s)
     has = lambda c, *words: F.coalesce(F.rlike(F.col(c), F.lit("|".join(words))), F.lit(False))
     fits = F.contains("tl", lang) | (lang == "javascript") & F.contains("tl", F.lit("typescript"))
@@ -241,7 +241,7 @@ def compare(tools: DataFrame, queries: DataFrame, k: int = 5, **how) -> DataFram
     hits = search(tools, queries, k, **how)
     c = asked(queries).select("qid", context(F.col("nq")).alias("asked_for"))
     t = tools.select("id", "name", "category", "url", "language", "stars", F.coalesce("useCase", "description").alias("fits"), "advantages", "negativeConstraints")
-    x = hits.join(t, "id").join(F.broadcast(c), "qid")  # a stated set of queries
+    x = hits.join(t, "id").join(c, "qid")
     return x.select("qid", "rank", "id", "name", F.floor(F.col("score") * 100 + 0.5).cast("int").alias("percent"), "url", "language", "stars", "fits", "advantages", "negativeConstraints", "asked_for")
 
 
