@@ -1,5 +1,6 @@
 """Document operators against brute force, with odd and empty input."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -274,6 +275,33 @@ def test_blocks():
         assert np.any([lines.met(t, share < 0.45, True) for t in got], axis=0).mean() >= 0.85
 
 
+def test_lines_hot(spark, monkeypatch):
+    """Ranges that many lines share travel as often as slots are drawn, not once for each pair of blocks; what goes stays the same."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    some = [" ".join(["the same passage opens every line of these documents", *[word() for _ in range(rnd.randint(3, 14))]]) for _ in range(500)]
+    docs = [(i, "\n".join([x, x.replace("a", "b", 1), word()])) for i, x in enumerate(some)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, lines.dedup(frame).collect()))
+    travelled = []
+
+    def spy(rows, size, weight=None, need=None, real=lines.in_blocks):
+        out = real(rows, size, weight, need)
+        if weight:
+            travelled.append(out.agg(F.sum(weight)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(lines, "in_blocks", spy)
+    monkeypatch.setattr(lines, "BLOCK", 10)
+    monkeypatch.setattr(lines, "RANGE", 10)
+    monkeypatch.setattr(lines, "HOT", 10**9)
+    assert sorted(map(tuple, lines.dedup(frame).collect())) == want
+    blocks, travelled[:] = max(travelled), []
+    monkeypatch.setattr(lines, "HOT", 40)
+    assert sorted(map(tuple, lines.dedup(frame).collect())) == want
+    assert max(travelled) < blocks / 2
+
+
 def test_lines_clash(spark, odd):
     """Extra columns of every name used inside pass through."""
     names = ["gone_row", "gone_doc", "gone_lines", "id", "row", "line", "root", "first", "n", "a", "b", "key", "salt", "whole", "task", "Row"]
