@@ -59,3 +59,32 @@ def test_keyword_for_many(spark, monkeypatch):
     monkeypatch.setattr(S, "FEW", 3)
     many = S.keyword(tools, asked)
     assert sorted(map(str, many.collect())) == one_by_one and len(one_by_one) > 10
+
+
+def test_equal_tools_score_once(spark):
+    """Copies of a tool are one group in both tiers, and come out each with the score that it has by itself; fields are not run together."""
+    kinds = [(["ab"], [], "red widget"), (["a", "b"], [], "red widget"), (["a"], ["b"], "red widget"), ([], None, "blue bolt")]
+    rows = [(f"t{i}", "x", *kinds[i % 4], i) for i in range(20)]
+    tools = spark.createDataFrame(rows, "id string, name string, triggers array<string>, capabilities array<string>, description string, ord long")
+    for c in ("category", "advantages", "negativeConstraints"):
+        tools = tools.withColumn(c, F.lit(None).cast("array<string>"))
+    tools = tools.withColumn("useCase", F.lit(None).cast("string")).withColumn("subTools", F.lit(None).cast("array<struct<name:string,description:string>>"))
+    assert S.alike(tools, *S.KEYWORD_FIELDS)[0].count() == 4
+    asked = S.asked(spark.createDataFrame([("0", "red ab widget"), ("1", "blue")], "qid string, query string"))
+    # the first query meets the three red kinds, the second the blue one and, by its trigger b, another
+    assert S.keyword(tools, asked).count() == 25
+    got = sorted(map(str, S.semantic_of_tools(tools, asked).collect()))
+    assert got == sorted(map(str, S.semantic(S.tool_text(tools), asked).collect())) and len(got) >= 20
+
+
+def test_split_as_separator():
+    """The faster pattern of steps finds what the stated one finds."""
+    import re
+
+    from skarn.plans import planner
+
+    assert "(?i)" not in planner.SPLIT
+    rnd = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["然後", "接著", "步驟", "12", ":", "：", "->", "=>", "-", ">", "；", "\n", "，", ",", "與此同時", "與", "A", "b", " "]) for _ in range(12))
+        assert re.split(planner.SPLIT, text) == re.split(planner.SEPARATOR, text)
