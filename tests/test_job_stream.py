@@ -36,3 +36,23 @@ def test_states(spark, tmp_path):
     before = J.latest(spark, at).count()
     J.drain(stream, at)
     assert J.latest(spark, at).count() == before
+
+
+def test_many_jobs(spark, tmp_path):
+    """Jobs of a batch share its cost: 150,000 of them, which one call of Python for each did not finish in 70 s. Late events and replays change nothing."""
+    import time
+
+    at, n = str(tmp_path), 150_000
+    ts = lambda ms: F.timestamp_millis(F.lit(1_767_225_600_000) + ms)
+    job = lambda kind, ms, timeout=None, code=None: spark.range(n).select(F.col("id").alias("job_id"), ts(ms).alias("ts"), F.lit(kind).alias("kind"), F.lit(timeout).cast("long").alias("timeout_ms"), F.lit(code).cast("int").alias("exit_code"))
+    job("created", F.col("id") * 0).union(job("started", F.col("id") * 0 + 1000, 10_000)).write.parquet(f"{at}/log")
+    stream = J.transitions(spark.readStream.schema(SCHEMA).parquet(f"{at}/log"))
+    begun = time.monotonic()
+    J.drain(stream, at)
+    assert {tuple(r) for r in J.latest(spark, at).groupBy("state").count().collect()} == {("running", n)}
+    # every second ends in time; an event at the watermark is late; the rest time out
+    job("exited", F.col("id") * 0 + 5000, code=0).filter("job_id % 2 = 0").union(job("cancelled", F.col("id") * 0 + 1000).filter("job_id % 2 = 1")).union(job("created", F.col("id") * 0 + 60_000).filter("job_id = 0")).write.mode("append").parquet(f"{at}/log")
+    J.drain(stream, at)
+    got = J.latest(spark, at).groupBy("state", F.col("job_id") % 2, F.col("at") - 1_767_225_600_000).count().collect()
+    assert {tuple(r) for r in got} == {("completed", 0, 5000, n // 2), ("timeout", 1, 11_000, n // 2)}
+    assert time.monotonic() - begun < 70
