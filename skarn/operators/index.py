@@ -1,19 +1,18 @@
-"""A kept search index: posting segments that are added to, not rewritten.
+"""A kept search index: segments that are added to, not rewritten.
 
 Each change of the documents is one more segment; none is ever altered. A segment has
 
-* `terms` (term, id, n_terms) and `grams` (gram, id, n_grams): postings, sorted by term within each file, so a search reads
-  the row groups of its terms only (Parquet's minima and maxima); a frequent term is dealt over several files,
-* `docs` (id, ord, terms): what each document has,
+* `docs` (id, ord, terms, grams): what each document has, tokenised once; a search reads the one or the other column. Nearly every document has
+  some of a query's bigrams, so lists by bigram and by term held little back, and sorting them took most of a build,
 * `df` (term, df): how many more documents have a term; removed ones count against it, so sums over segments are right,
 * `gone` (id): documents of earlier segments that it takes away, among them those that it puts anew.
 
 The manifest of a version, a one-line file that lists its segments, is written last and makes a change visible; a change that fails
 before leaves nothing but an unused folder. `compact` writes all live documents as one segment.
 
-Scores are those of the third search tier. Postings alone give bounds on each document's score: its length is at least that of the terms
+Scores are those of the third search tier. What a document shares with the query gives bounds on its score: its length is at least that of the terms
 that it shares with the query and one for each other term, at most with the largest weight for each. Only documents that can
-reach the threshold (or the k best) have their terms looked up; and none where `warm` has written the lengths of all.
+reach the threshold (or the k best) have their terms weighed; and none where `warm` has written the lengths of all.
 """
 
 from __future__ import annotations
@@ -24,13 +23,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import bigrams, norm, round_to, tokens
+from skarn.functions.text import bigrams, dealt, round_to, terms_and_grams
 from skarn.operators.search import THRESHOLD, expand
 
+DOCS = "id string, ord long, terms array<string>, grams array<string>"
 #: Terms of a stated set of queries up to which they are written into the scan as literals; beyond, scans are joined only.
 LITERALS = 2000
-#: Parts that a term's postings are dealt over, so that a frequent one is not one task.
-SPREAD = 8
+#: The most frequent terms, whose weights are sent to every task: their share of all terms of all documents is large, and is weighed in place.
+FREQUENT = 20_000
 
 
 def _path(spark: SparkSession, path: str):
@@ -63,7 +63,7 @@ class SearchIndex:
 
     def _read(self, table: str, schema: str, segments: list[str] | None = None) -> DataFrame:
         """A table of all segments, each row with the number of its segment."""
-        out = self.spark.createDataFrame([], f"{schema}, segment int")
+        out = self.spark.range(0).select(F.from_json(F.lit("{}"), f"{schema}, segment int").alias("r")).select("r.*")
         for i, s in enumerate(self.segments if segments is None else segments):
             out = out.unionByName(self.spark.read.schema(schema).parquet(f"{self.path}/{s}/{table}").withColumn("segment", F.lit(i)))
         return out
@@ -76,12 +76,12 @@ class SearchIndex:
         return rows.join(gone, "id", "left").filter(F.col("until").isNull() | (F.col("segment") >= F.col("until"))).drop("until")
 
     def docs(self) -> DataFrame:
-        """id, ord, terms of every document."""
-        return self._live(self._read("docs", "id string, ord long, terms array<string>")).drop("segment")
+        """id, ord, terms, grams of every document."""
+        return self._live(self._read("docs", DOCS)).drop("segment")
 
     def n_docs(self) -> int:
         if self._n is None:
-            self._n = self._live(self._read("docs", "id string, ord long, terms array<string>").select("id", "segment")).count()
+            self._n = self._live(self._read("docs", DOCS).select("id", "segment")).count()
         return self._n
 
     def put(self, docs: DataFrame) -> SearchIndex:
@@ -89,35 +89,37 @@ class SearchIndex:
         return self._segment(docs, docs.select("id"))
 
     def remove(self, ids: DataFrame) -> SearchIndex:
-        return self._segment(self.spark.createDataFrame([], "id string, ord long, text string"), ids.select("id"))
+        return self._segment(ids.limit(0).select(F.col("id").cast("string").alias("id"), F.lit(0).cast("long").alias("ord"), F.lit("").alias("text")), ids.select("id"))
 
     def _segment(self, docs: DataFrame, gone: DataFrame) -> SearchIndex:
         name = f"segment-{self.version + 1}-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
-        t = norm(F.col("text"))
-        docs.select("id", F.col("ord").cast("long").alias("ord"), tokens(t).alias("terms"), bigrams(t).alias("grams")).write.parquet(f"{at}/all")
-        whole = self.spark.read.parquet(f"{at}/all")
-        whole.select("id", "ord", "terms").write.parquet(f"{at}/docs")
-        for table, one, many in (("terms", "term", "terms"), ("grams", "gram", "grams")):
-            rows = whole.select(F.explode(many).alias(one), "id", F.size(many).alias(f"n_{many}"))
-            rows.repartition(one, F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions(one, "id").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/{table}")
-        old = self.docs().select("id", "terms").join(gone.distinct(), "id", "left_semi") if self.segments else whole.select("id", "terms").filter("false")
-        change = whole.select(F.explode("terms").alias("term"), F.lit(1).alias("by")).union(old.select(F.explode("terms"), F.lit(-1)))
+        parts = terms_and_grams(F.col("text")).alias("x")
+        dealt(docs).select("id", F.col("ord").cast("long").alias("ord"), parts).select("id", "ord", "x.*").write.parquet(f"{at}/docs")
+        change = self.spark.read.schema(DOCS).parquet(f"{at}/docs").select(F.explode("terms").alias("term"), F.lit(1).alias("by"))
+        if self.segments:
+            # only ids move until it is known which segments lose something
+            live = self._live(self._read("docs", DOCS).select("id", "segment"))
+            live.join(gone.select("id").distinct(), "id", "left_semi").select("id", "segment").write.parquet(f"{at}/gone")
+            lost = self.spark.read.schema("id string, segment int").parquet(f"{at}/gone")
+            for n in sorted(r[0] for r in lost.select("segment").distinct().collect()):
+                old = self.spark.read.schema(DOCS).parquet(f"{self.path}/{self.segments[n]}/docs").join(lost.filter(F.col("segment") == n), "id", "left_semi")
+                change = change.union(old.select(F.explode("terms"), F.lit(-1)))
+        else:
+            self._none_gone(at)
         change.groupBy("term").agg(F.sum("by").alias("df")).filter("df <> 0").write.parquet(f"{at}/df")
-        gone.select("id").distinct().write.parquet(f"{at}/gone")
-        p, fs = _path(self.spark, f"{at}/all")
-        fs.delete(p, True)
         return self._commit([*self.segments, name])
 
+    def _none_gone(self, at: str) -> None:
+        self.spark.range(0).select(F.lit("").alias("id")).write.parquet(f"{at}/gone")
+
     def compact(self) -> SearchIndex:
-        """All live documents as one segment, from the postings that are there; older folders stay for searches under way."""
+        """All live documents as one segment, from what is there; older folders stay for searches under way."""
         name = f"segment-{self.version + 1}-{uuid.uuid4().hex}"
         at = f"{self.path}/{name}"
         self.docs().write.parquet(f"{at}/docs")
-        for table, one, schema in (("terms", "term", "term string, id string, n_terms int"), ("grams", "gram", "gram string, id string, n_grams int")):
-            self._live(self._read(table, schema)).drop("segment").repartition(one, F.pmod(F.xxhash64("id"), F.lit(SPREAD))).sortWithinPartitions(one, "id").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/{table}")
         self._frequencies().write.parquet(f"{at}/df")
-        self.spark.createDataFrame([], "id string").write.parquet(f"{at}/gone")
+        self._none_gone(at)
         return self._commit([name])
 
     def _frequencies(self) -> DataFrame:
@@ -141,13 +143,15 @@ class SearchIndex:
         def narrowed(table: DataFrame, column: str, some: list[str]) -> DataFrame:
             return table.filter(F.col(column).isin(some)) if some else table
 
-        words, pairs = wanted(terms.select("term")), wanted(asked_grams.select("gram"))
+        words = wanted(terms.select("term"))
+        sought = F.broadcast(terms.agg(F.collect_set("term").alias("words")).crossJoin(asked_grams.agg(F.collect_set("gram").alias("pairs"))))  # one row: a stated set of queries
+        docs = self._read("docs", DOCS).crossJoin(sought)
         n = self.n_docs()
         q = terms.join(narrowed(self.weights(), "term", words), "term", "left").select("qid", "term", F.coalesce("idf", F.lit(1.0)).alias("qw"))
         qn = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-        hits = narrowed(self._read("terms", "term string, id string, n_terms int"), "term", words).join(q, "term")
+        hits = docs.select("id", "segment", F.size("terms").alias("n_terms"), F.explode(F.array_intersect("terms", "words")).alias("term")).join(q, "term")
         dot = hits.groupBy("qid", "id", "segment").agg(F.sum(F.col("qw") * F.col("qw")).alias("dot"), (F.first("n_terms") - F.count(F.lit(1))).alias("rest"))
-        both = narrowed(self._read("grams", "gram string, id string, n_grams int"), "gram", pairs).join(asked_grams, "gram")
+        both = docs.select("id", "segment", F.size("grams").alias("n_grams"), F.explode(F.array_intersect("grams", "pairs")).alias("gram")).join(asked_grams, "gram")
         dice = both.groupBy("qid", "id", "segment").agg((2.0 * F.count(F.lit(1)) / (F.first("n_grams") + F.first("n_asked"))).alias("dice"))
         x = self._live(dot.join(dice, ["qid", "id", "segment"], "full")).join(qn, "qid", "left")
         x = x.withColumn("dot", F.coalesce("dot", F.lit(0.0))).withColumn("rest", F.coalesce("rest", F.lit(0))).withColumn("dice", F.coalesce("dice", F.lit(0.0)))
@@ -158,7 +162,7 @@ class SearchIndex:
     def warm(self) -> SearchIndex:
         """Writes the length of every document's vector in this version, which depends on all others; searches then need no terms at all."""
         if self.segments and not self._warm():
-            docs = self._live(self._read("docs", "id string, ord long, terms array<string>"))
+            docs = self._live(self._read("docs", DOCS).select("id", "segment", "ord", "terms"))
             self._lengths(docs).write.mode("overwrite").parquet(f"{self.path}/lengths-{self.version}")
         return self
 
@@ -168,15 +172,20 @@ class SearchIndex:
 
     def _lengths(self, docs: DataFrame) -> DataFrame:
         """id, segment, ord, dn of docs (id, segment, ord, terms)."""
-        squares = docs.select("id", "segment", "ord", F.explode_outer("terms").alias("term")).join(self.weights(), "term", "left")
-        return squares.groupBy("id", "segment", "ord").agg(F.sqrt(F.coalesce(F.sum(F.col("idf") * F.col("idf")), F.lit(0.0))).alias("dn"))
+        weights = self.weights()
+        frequent = F.broadcast(weights.orderBy("idf", "term").limit(FREQUENT))
+        each = docs.select("id", "segment", "ord", F.explode("terms").alias("term"))
+        squared = lambda rows: rows.select("id", "segment", "ord", (F.col("idf") * F.col("idf")).alias("square"))
+        rare = each.join(frequent, "term", "left_anti").join(weights, "term")
+        squares = squared(each.join(frequent, "term")).union(squared(rare)).union(docs.select("id", "segment", "ord", F.lit(0.0)))
+        return squares.groupBy("id", "segment", "ord").agg(F.sqrt(F.sum("square")).alias("dn"))
 
     def _scored(self, x: DataFrame) -> DataFrame:
         """x with the cosine and the score; if the index is not warm, from the terms of its documents only."""
         if self._warm():
             length = self.spark.read.schema("id string, segment int, ord long, dn double").parquet(f"{self.path}/lengths-{self.version}")
         else:
-            length = self._lengths(self._read("docs", "id string, ord long, terms array<string>").join(x.select("id", "segment").distinct(), ["id", "segment"], "left_semi"))
+            length = self._lengths(self._read("docs", DOCS).select("id", "segment", "ord", "terms").join(x.select("id", "segment").distinct(), ["id", "segment"], "left_semi"))
         y = x.join(length, ["id", "segment"])
         y = y.withColumn("cos", F.coalesce(F.try_divide(F.col("dot"), F.col("qn") * F.col("dn")), F.lit(0.0)))
         return y.withColumn("c", 0.6 * F.col("cos") + 0.4 * F.col("dice"))
