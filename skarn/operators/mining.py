@@ -1,9 +1,10 @@
 """Synonym mining kept up to date: counts change by what changes in the catalog, never by a pass over all of it.
 
 Two terms count as one pair for each tool that lists both, so a changed tool takes its old pairs away and adds its new ones, and no
-other tool matters. Each change is one more folder with the tools it puts or removes and what that adds to the counts; the sums over
-all folders are the counts. A term that becomes common, or rare again, retracts or restores its pairs when these are read, as
-counts of common terms are kept too: pairs of a tool are few, so they stay in proportion to the catalog.
+other tool matters. Each change is one more folder with the tools it puts or removes, written first, and one with what that adds to
+the counts of terms and of pairs, which commits it; the sums over all changes are the counts. A term that becomes common, or rare
+again, retracts or restores its pairs when these are read, as counts of common terms are kept too: pairs of a tool are few, so they
+stay in proportion to the catalog. Pairs are summed once for each state, into a folder of their own, from which all that is mined is read.
 """
 
 from __future__ import annotations
@@ -14,28 +15,42 @@ from pyspark.sql import functions as F
 from skarn.functions.text import norm
 from skarn.operators.synonyms import COMMON, is_chinese, mined
 
-SCHEMA = "id string, terms array<string>, a string, b string, by long"
+TOOLS = "id string, zh array<string>, en array<string>, change int"
+COUNTS = "a string, b string, by long"
+PAIRS = "zh string, en string, n long"
 
 
 class MinedTerms:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        self.changes = sorted(int(n[7:]) for n in names if n.startswith("change-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-    def _all(self) -> DataFrame:
-        out = self.spark.createDataFrame([], f"{SCHEMA}, change int")
-        for n in self.changes:
-            out = out.unionByName(self.spark.read.schema(SCHEMA).parquet(f"{self.path}/change-{n}").withColumn("change", F.lit(n)))
-        return out
+        p = self._at("")
+        names = [f.getPath().getName() for f in p.getFileSystem(self._conf()).listStatus(p)] if self._there("") else []
+        self.changes = sorted(int(n[7:]) for n in names if n.startswith("change-") and self._there(f"{n}/_SUCCESS"))
+
+    def _conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _there(self, name: str) -> bool:
+        p = self._at(name)
+        return p.getFileSystem(self._conf()).exists(p)
+
+    def _read(self, names: list[str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+
+    def _kept(self) -> DataFrame:
+        return self._read([f"tools-{n}" for n in self.changes], TOOLS)
 
     def tools(self) -> DataFrame:
         """id, terms of every tool that is there; terms are null for one that has been removed."""
-        last = self._all().filter("id is not null").groupBy("id").agg(F.max_by(F.struct("terms"), "change").alias("t"))
-        return last.select("id", "t.terms").filter("terms is not null")
+        last = self._last(self._kept())
+        return last.filter("zh is not null").select("id", F.concat("zh", "en").alias("terms"))
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.max_by(F.struct("zh", "en"), "change").alias("t")).select("id", "t.zh", "t.en")
 
     def put(self, tools: DataFrame) -> MinedTerms:
         """tools (id, triggers), in place of those with the same id."""
@@ -47,27 +62,38 @@ class MinedTerms:
 
     def _change(self, new: DataFrame) -> MinedTerms:
         n = self.changes[-1] + 1 if self.changes else 0
-        old = self.tools().join(new.select("id").distinct(), "id", "left_semi") if self.changes else new.filter("false")
-        both = new.filter("terms is not null").select("terms", F.lit(1).alias("by")).union(old.select("terms", F.lit(-1)))
         zh, en = F.filter("terms", is_chinese), F.filter("terms", lambda t: ~is_chinese(t))
-        single = F.transform("terms", lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b")))
-        pairs = F.flatten(F.transform(zh, lambda z: F.transform(en, lambda e: F.struct(z.alias("a"), e.alias("b")))))
-        counts = both.select(F.explode(F.concat(single, pairs)).alias("p"), "by").groupBy("p.a", "p.b").agg(F.sum("by").alias("by")).filter("by <> 0")
-        rows = new.select("id", "terms", *[F.lit(None).cast("string").alias(c) for c in "ab"], F.lit(None).cast("long").alias("by"))
-        rows.unionByName(counts, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/change-{n}")
+        new.select("id", zh.alias("zh"), en.alias("en"), F.lit(n).alias("change")).write.mode("overwrite").parquet(f"{self.path}/tools-{n}")
+        new = self._read([f"tools-{n}"], TOOLS)
+        both = new.select("zh", "en", F.lit(1).alias("by"))
+        if self.changes:
+            old = self._last(self._kept().join(new.select("id").distinct(), "id", "left_semi"))
+            both = both.union(old.select("zh", "en", F.lit(-1)))
+        single = F.transform(F.concat("zh", "en"), lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b")))
+        pairs = F.flatten(F.transform("zh", lambda z: F.transform("en", lambda e: F.struct(z.alias("a"), e.alias("b")))))
+        counts = both.filter("zh is not null").select(F.explode(F.concat(single, pairs)).alias("p"), "by").groupBy("p.a", "p.b").agg(F.sum("by").alias("by")).filter("by <> 0")
+        kind = F.when(F.col("b").isNull(), "term").otherwise("pair")
+        counts.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/change-{n}")
         return MinedTerms(self.spark, self.path)
 
-    def _counts(self) -> DataFrame:
-        return self._all().filter("a is not null").groupBy("a", "b").agg(F.sum("by").alias("n")).filter("n > 0")
+    def _counts(self, kind: str, *by: str) -> DataFrame:
+        names = [f"change-{n}/kind={kind}" for n in self.changes]
+        return self._read([n for n in names if self._there(n)], COUNTS).groupBy(*by).agg(F.sum("by").alias("n")).filter("n > 0")
 
     def frequencies(self) -> DataFrame:
-        return self._counts().filter("b is null").select(F.col("a").alias("term"), F.col("n").alias("df"))
+        return self._counts("term", "a").select(F.col("a").alias("term"), F.col("n").alias("df"))
 
     def pairs(self) -> DataFrame:
         """(zh, en, n) as synonyms.pairs gives over all tools."""
-        rare = self.frequencies().filter(F.col("df") <= COMMON).select("term")
-        p = self._counts().filter("b is not null").select(F.col("a").alias("zh"), F.col("b").alias("en"), "n")
-        return p.join(rare.withColumnRenamed("term", "zh"), "zh", "left_semi").join(rare.withColumnRenamed("term", "en"), "en", "left_semi").select("zh", "en", "n")
+        if not self.changes:
+            return self.spark.createDataFrame([], PAIRS)
+        last = self.changes[-1]
+        if not self._there(f"pairs-{last}/_SUCCESS"):
+            common = self.frequencies().filter(F.col("df") > COMMON).select("term")
+            p = self._counts("pair", "a", "b").select(F.col("a").alias("zh"), F.col("b").alias("en"), "n")
+            p = p.join(common.withColumnRenamed("term", "zh"), "zh", "left_anti").join(common.withColumnRenamed("term", "en"), "en", "left_anti")
+            p.select("zh", "en", "n").write.mode("overwrite").parquet(f"{self.path}/pairs-{last}")
+        return self._read([f"pairs-{last}"], PAIRS)
 
     def mine(self, seeds: DataFrame | None = None, aliases: DataFrame | None = None, least: int = 1) -> DataFrame:
         return mined(self.pairs(), seeds, aliases, least)

@@ -27,3 +27,17 @@ def test_increments(spark, tmp_path):
         crossed.add(tuple(sorted(r["term"] for r in kept.frequencies().collect() if r["df"] > synonyms.COMMON)))
     assert len(crossed) > 1
     assert sorted(map(tuple, kept.mine().collect())) == sorted(map(tuple, synonyms.mine(now).collect()))
+
+
+def test_pairs_are_summed_once(spark, tmp_path):
+    """What is mined comes from pairs that were summed once for the state, not from the counts again at each use; a change sums anew."""
+    schema = "id string, triggers array<string>"
+    kept = MinedTerms(spark, str(tmp_path / "m")).put(spark.createDataFrame([("a", ["簡報", "slides"]), ("b", ["漏洞", "pentest"])], schema))
+    mined = kept.mine(synonyms.seed_links(spark), synonyms.alias_table(spark))
+    assert not [f for f in mined.inputFiles() if "/change-" in f or "/tools-" in f]
+    plan = mined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") < 6 and "LeftOuter" not in plan
+    kept = kept.remove(spark.createDataFrame([("b", None)], schema))
+    assert [tuple(r) for r in kept.pairs().collect()] == [("簡報", "slides", 1)]
+    assert kept.tools().collect() == [("a", ["簡報", "slides"])]
+    assert MinedTerms(spark, str(tmp_path / "none")).mine().collect() == []
