@@ -505,3 +505,20 @@ def test_mixing_clash(spark):
     w = [5.0, 5.0, 80.0, 80.0, 80.0, 900.0]
     assert abs(mixing.exponent_for(w, 1e3, 0.9, 4.0) - mixing.exponent_for([5.0, 80.0, 900.0], 1e3, 0.9, 4.0, [2.0, 3.0, 1.0])) < 1e-9
     assert mixing.exponent_for(w, 1e9, 0.5, 4.0) == 1.0  # no exponent meets it
+
+
+def test_unlike_lines_are_refuted_early(monkeypatch):
+    """Bands are as narrow as the limit allows, and a pair ends once its last diagonal has passed it: diagonals looked at for each column."""
+    rnd, seen = random.Random(1), []
+    said = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    pairs = [(said(240) + (p := said(360)) + "x", said(240) + p + "y") for _ in range(20)]
+    pack = np.packbits
+    monkeypatch.setattr(np, "packbits", lambda x, *a, **k: seen.append(x.size) or pack(x, *a, **k))
+    assert not lines.close([a for a, _ in pairs], [b for _, b in pairs], 0.9).any()
+    assert sum(seen) < 12 * 20 * 601
+
+
+@given(st.text("aB1 \t\n\r\x0b\x0c\x1cÄ ", max_size=30))
+def test_spaced(text):
+    raw = text.lower().encode().translate(bytes.maketrans(b"123456789", b"000000000"))
+    assert lines.spaced(text) == [b" ".join(x.split()) for x in raw.split(b"\n")]
