@@ -522,3 +522,62 @@ def test_unlike_lines_are_refuted_early(monkeypatch):
 def test_spaced(text):
     raw = text.lower().encode().translate(bytes.maketrans(b"123456789", b"000000000"))
     assert lines.spaced(text) == [b" ".join(x.split()) for x in raw.split(b"\n")]
+
+
+def test_lines_counted_once(spark, monkeypatch):
+    """Lines of ranges that are counted already are dealt once: blocks come without another count of what the tasks made."""
+    rnd = random.Random(9)
+    docs = [(i, "\n".join("".join(rnd.choice("abcdefghijklmnop ") for _ in range(40)) for _ in range(2))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want, seen = sorted(map(tuple, lines.dedup(frame).collect())), []
+
+    def spy(rows, size, weight=None, need=None, real=lines.in_blocks):
+        if weight:
+            seen.append(("n_key" in rows.columns, {r["n_blocks"] for r in rows.selectExpr(f"greatest(1, ceil(n_key / {size})) as n_blocks").collect()}))
+        return real(rows, size, weight, need)
+
+    monkeypatch.setattr(lines, "in_blocks", spy)
+    monkeypatch.setattr(lines, "BLOCK", 15)
+    monkeypatch.setattr(lines, "RANGE", 40)
+    monkeypatch.setattr(lines, "SOME", 5)
+    assert sorted(map(tuple, lines.dedup(frame).collect())) == want
+    assert seen and all(known for known, _ in seen) and any(max(n) > 1 for _, n in seen)
+
+
+def test_long_near_copies_without_bands(monkeypatch):
+    """Long lines with a few changes are linked by what they have in common, without a distance over their whole length."""
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    other = [*words[:50], "one", "two", *words[51:200], *words[203:390], "end", *words[390:]]
+    a, b = " ".join(words), " ".join(other)
+    assert lines.at_most(a, b, 300) <= 60 and lines.within(a, b, lines.at_most(a, b, 300))
+    for name in ("_banded", "within"):
+        monkeypatch.setattr(lines, name, lambda *_: 1 / 0)
+    assert lines.close([a, b], [b, a], 0.9).tolist() == [True, True]
+
+
+def test_at_most():
+    """Never below the distance."""
+    rnd = random.Random(6)
+    for _ in range(200):
+        a = "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 90)))
+        b = "".join(c for c in a if rnd.random() > 0.05) + "".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9)))
+        assert lines.within(a, b, lines.at_most(a, b, 20))
+
+
+def test_sharing():
+    """Large groups, compared bit by bit, give the pairs that single comparisons give."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (4, lines.SLOTS), dtype=np.uint8)
+    sig = np.where(rng.random((300, lines.SLOTS)) < 0.75, base[rng.integers(0, 4, 300)], rng.integers(0, 256, (300, lines.SLOTS), dtype=np.uint8))
+    size = np.sort(rng.integers(80, 200, 300))
+    got = {(i, j): k for x in lines.sharing(lines.sliced(sig), size, 32, 0.9) for i, j, k in zip(*map(np.ndarray.tolist, x), strict=True)}
+    want = {(i, j): k for i in range(300) for j in range(i + 1, 300) if (k := int((sig[i] == sig[j]).sum())) >= 32 and size[j] - size[i] <= 0.1 * size[j] + 1e-9}
+    assert got == want and len(want) > 500
+    x = np.zeros(300, lines.LINE)
+    x["sig"], x["size"], x["sig"][:, :4] = sig, size, 7
+    up = lines.alike(x, [0], [[1, 2, 3]], [], 0.9, None)
+    same = (x["sig"][:, None] == x["sig"][None]).sum(2)
+    near = (same >= lines.ALIKE) & (np.bitwise_count(np.bitwise_xor(*np.broadcast_arrays(*(lines.sliced(x["sig"])[0][a] for a in (np.s_[:, None], np.s_[None]))))) <= lines.APART)
+    i, j = np.nonzero(np.triu(near, 1) & (size[None] - size[:, None] <= 0.1 * size[None] + 1e-9))
+    assert (up == lines.linked_up(np.arange(300), i, j)).all()
